@@ -265,6 +265,8 @@ def is_truncated(answer: str, counts: np.ndarray) -> bool:
         return False
     if _LIST_NUMBER.search(text):
         return True
+    if text.rstrip("”’」』）)\"'")[-1:] in tuple("。！？!?") and text[-1] not in "。！？!?":
+        return False  # a finished sentence inside closing signs
     last = text[-1]
     if last in _NEEDS_MORE:
         return True
