@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p01_split", "p02_pairs")
+MODULES = ("p01_split", "p02_pairs", "p03_scans")
 
 
 def _modules():

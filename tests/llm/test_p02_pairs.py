@@ -66,7 +66,7 @@ def test_truncation():
 
 
 def test_rows(spark):
-    good = [(100 + k, "问题" + g, g, "x") for k, g in enumerate(GOOD)]
+    good = [(100 + k, "需要注意什么？", g, "x") for k, g in enumerate(GOOD)]
     q = "家里老人今年八十岁，夜里咳嗽三天了，要不要先查一下胸片？"
     odd = [
         (1, q, None, None), (1, q, None, None), (2, None, "无", None), (3, q, q, None), (4, q, "The nurse is going to see you in the morning, do not worry.", None), (5, "why?", GOOD[3], None),
