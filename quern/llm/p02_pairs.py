@@ -109,8 +109,9 @@ def language_scores(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray,
 # ---------------------------------------------------------------- end-of-text model
 
 #: Orders of the n-grams and the bits of each order's hashed table; OFFSETS are in counters.
-ORDERS, BITS = (3, 5, 8), (18, 19, 19)
-OFFSETS = (0, *np.cumsum([2 << b for b in BITS]).tolist())
+ORDERS, BITS = (3, 5, 8), (17, 18, 19)
+#: Each order has two tables under two hashes; the smaller count is the less disturbed one.
+OFFSETS = (0, *np.cumsum([4 << b for b in BITS]).tolist())
 #: The longest n-gram that occurs clearly more often than a bucket fills by chance decides
 #: (FLOOR times, and at least SUPPORT times); an end is sound from this share of ends on.
 FLOOR, SUPPORT, SOUND = 2.5, 6, 0.3
@@ -119,15 +120,16 @@ ENDERS = "。！？!?…；;"
 WHITE = " \t\r\n\x00　"
 
 
-def _context_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """For each position p the bucket of the ORDERS[k] code points before it (positions below that are wrong)."""
+def _context_hashes(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position p the two buckets of the ORDERS[k] code points before it (positions below that are wrong)."""
     n = ORDERS[k]
     h = np.full(len(points) + 1, n, dtype=np.uint64)
     m = np.uint64(0x9E3779B97F4A7C15)
     for j in range(n, 0, -1):
         h *= m
         h[j:] += points[: len(points) - j + 1]
-    return (mix64(h) >> np.uint64(64 - BITS[k])).astype(np.int64)
+    h = mix64(h)
+    return (h >> np.uint64(64 - BITS[k])).astype(np.int64), (h & np.uint64((1 << BITS[k]) - 1)).astype(np.int64)
 
 
 def _unified(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +169,10 @@ def _fill_ends(batch: pa.RecordBatch, counts: np.ndarray) -> None:
         lead, stop = int(keep[1 : lead + 1].sum()), int(keep[1 : lead + step + 1].sum())
         for k, n in enumerate(ORDERS):
             size, first = 1 << BITS[k], max(n, lead)
-            h = _context_hashes(p, k)[first:stop]
-            counts[OFFSETS[k] : OFFSETS[k] + size] += np.bincount(h, minlength=size)
-            counts[OFFSETS[k] + size : OFFSETS[k + 1]] += np.bincount(h[ends[first:stop]], minlength=size)
+            for j, h in enumerate(_context_hashes(p, k)):
+                h, at = h[first:stop], OFFSETS[k] + 2 * j * size
+                counts[at : at + size] += np.bincount(h, minlength=size)
+                counts[at + size : at + 2 * size] += np.bincount(h[ends[first:stop]], minlength=size)
 
 
 def end_counts(answers: DataFrame) -> np.ndarray:
@@ -185,8 +188,8 @@ def end_likelihood(text: str, counts: np.ndarray) -> float:
     for k in range(len(ORDERS) - 1, -1, -1):
         n, size = ORDERS[k], 1 << BITS[k]
         if len(p) >= n:
-            b = OFFSETS[k] + _context_hashes(p[-n:], k)[n]
-            seen, ended = table_[b] - 1, table_[b + size] - 1
+            at = [OFFSETS[k] + 2 * j * size + int(h[n]) for j, h in enumerate(_context_hashes(p[-n:], k))]
+            seen, ended = min(int(table_[b]) for b in at) - 1, min(int(table_[b + size]) for b in at) - 1
             if seen >= max(SUPPORT, FLOOR * total / size) or k == 0:
                 return max(0.0, ended / seen) if seen > 0 else 0.0
     return 0.0
@@ -329,11 +332,14 @@ def _flag(weights, counts):
     return run
 
 
-def pair_defects(pairs: DataFrame) -> DataFrame:
-    """(id, defect) of the defective rows of `pairs(id, question, answer)`, one row each."""
+def pair_defects(pairs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(id, defect) of the defective rows of `pairs(id, question, answer)`, one row each.
+
+    The end-of-text model counts `answers(answer)`, by default those of `pairs`.
+    """
     pairs = pairs.select(F.col("id").cast("long").alias("id"), "question", "answer")
     spark = pairs.sparkSession
-    counts = spark.sparkContext.broadcast(end_counts(pairs.select("answer")))
+    counts = spark.sparkContext.broadcast(end_counts((pairs if answers is None else answers).select("answer")))
     weights = spark.sparkContext.broadcast(train_languages())
     flagged = pairs.mapInArrow(_flag(weights, counts), "id long, defect string")
     return flagged.groupBy("id").agg(F.min("defect").alias("defect"))
