@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p01_split", "p02_pairs", "p03_scans", "p04_lines", "p05_subjects", "p07_leaks", "p08_mix")
+MODULES = ("p01_split", "p02_pairs", "p03_scans", "p04_lines", "p05_subjects", "p06_neardup", "p07_leaks", "p08_mix")
 
 
 def _modules():

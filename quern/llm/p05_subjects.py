@@ -290,6 +290,8 @@ def subjects(records: DataFrame, areas: DataFrame, dictionary: DataFrame, checke
     sc = spark.sparkContext
     area_rows = sorted((tuple(r) for r in areas.where("subject is not null").select("subject", "name_zh", "name_en", "about").distinct().limit(MAX_SUBJECTS + 1).collect()), key=str)
     terms = sorted(r[0] for r in dictionary.select("term").where("term is not null").distinct().limit(MAX_TERMS + 1).collect())
+    if not area_rows:
+        return spark.createDataFrame([], "id long, subject string, sentences int, posterior double")
     lexicon = Lexicon(area_rows, terms)
     records = records.select(F.col("id").cast("long").alias("id"), "label", "question", "answer")
     n = len(lexicon.terms)
