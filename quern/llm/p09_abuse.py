@@ -46,15 +46,16 @@ _DISGUISED = re.compile(r"[a-z0-9$@!|€]*(?:[a-z][013457$@|€]|[013457$@|€][
 _QUANTITY = re.compile(r"^\d+[a-z]{1,3}$|^[a-z]{1,3}\d+$")
 _ENDS = re.compile(r"[。！？…\n\r]+|[!?]+(?![\w$@])|(?<=[a-z\"')])\.(?=\s|$)|(?<=\d)\.(?=\s)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_STRETCHED = re.compile(r"(.)\1{2,}")
-_DOUBLED_VOWEL = re.compile(r"([aiu])\1")
+_STRETCHED = re.compile(r"([a-z])\1{2,}")
+_DOUBLED_VOWEL = re.compile(r"aa|ii|uu")
 
 
 def plain(flat: str) -> str:
     """Letters of lower-case text, disguises undone."""
     if _DISGUISED.search(flat):
         flat = _DISGUISED.sub(lambda m: m.group(0) if _QUANTITY.match(m.group(0)) else m.group(0).rstrip("!|").translate(STAND_INS), flat)
-    return _DOUBLED_VOWEL.sub(r"\1", _STRETCHED.sub(r"\1", _NOT_LETTER.sub("", flat)))
+    out = _NOT_LETTER.sub("", flat)
+    return _DOUBLED_VOWEL.sub(lambda m: m.group(0)[0], _STRETCHED.sub(r"\1", out))
 
 
 def _flat(text: str) -> str:
@@ -211,8 +212,8 @@ def _diverse(texts: list[str], most: int) -> list[str]:
     return taken
 
 
-def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, table slot) of the runs of letters of each text: three Han characters or six others."""
+def _slots(texts: list[str], index: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, table slot) of the runs of letters of each text: three Han characters or six others; `index` gets their positions."""
     points, owner = _positions(texts)
     out_o, out_s = [], []
     for han, width in ((True, 3), (False, 6)):
@@ -222,6 +223,8 @@ def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = np.zeros(len(at), dtype=np.uint64)
         for k in range(width):
             h = h * np.uint64(0x100000001B3) + points[at + k]
+        if index is not None:
+            index.append(at)
         out_o.append(owner[at])
         out_s.append((mix64(h) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
     return np.concatenate(out_o), np.concatenate(out_s)
@@ -278,7 +281,9 @@ def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machin
     def core(s: str) -> str:
         """The passage itself, without what stands around it in a run-on sentence."""
         width = 3 if sum(ord(c) >= 0x2E80 for c in s) * 2 > len(s) else 6
-        at = [k for k in range(len(s) - width + 1) if hot[_slots([s[k : k + width]])[1]].any()]
+        index = []
+        slot = _slots([s], index)[1]
+        at = sorted(np.concatenate(index)[hot[slot]].tolist())
         best: list[int] = []
         part: list[int] = []
         for k in at:  # the longest stretch of such runs without a wide gap
@@ -307,7 +312,7 @@ def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machin
         machine = Machine(kernel, whitening, w, b)
         worst, usual = float(np.quantile(machine.scores(good), 0.9995)), float(np.median(machine.scores(witness)))
         if worst < usual:  # between the highest harmless sentences and the usual abusive one, nearer to the former
-            machine.bias -= worst + 0.2 * (usual - worst)
+            machine.bias -= worst + 0.3 * (usual - worst)
         again = [t for doc in bad for t, v in zip(doc, machine.scores(doc)) if v > 0]
         if not again or sorted(set(again)) == sorted(set(witness)):
             break
