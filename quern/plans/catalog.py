@@ -124,7 +124,8 @@ def clean_text(spark, folder):
 @query("line_reasons", f"SELECT count(*)::BIGINT AS lines, count(*) FILTER (WHERE s = '')::BIGINT AS empty, count(*) FILTER (WHERE s <> '' AND ({_LOG}))::BIGINT AS logs, count(*) FILTER (WHERE s <> '' AND ({_GUIDE}))::BIGINT AS guide FROM (SELECT {_strip('l')} AS s FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))")
 def line_reasons(spark, folder):
     """L1-L21 as counters over all lines."""
-    lines = docs(spark, folder).where("text is not null").select(F.explode(F.split("text", "\n")).alias("l")).select(T.strip(F.col("l")).alias("s"))
+    raw = docs(spark, folder).where("text is not null").select(F.explode(F.split("text", "\n")).alias("l"))
+    lines = raw.select(T.strip(F.col("l")).alias("s"))
     some = F.col("s") != ""
     return lines.agg(F.count("*").alias("lines"), F.count_if(~some).alias("empty"), F.count_if(some & T.is_log_or_table(F.col("s"))).alias("logs"), F.count_if(some & T.is_guide_noise(F.col("s"))).alias("guide"))
 
