@@ -312,7 +312,7 @@ def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machin
         machine = Machine(kernel, whitening, w, b)
         worst, usual = float(np.quantile(machine.scores(good), 0.9995)), float(np.median(machine.scores(witness)))
         if worst < usual:  # between the highest harmless sentences and the usual abusive one, nearer to the former
-            machine.bias -= worst + 0.3 * (usual - worst)
+            machine.bias -= worst + 0.25 * (usual - worst)
         again = [t for doc in bad for t, v in zip(doc, machine.scores(doc)) if v > 0]
         if not again or sorted(set(again)) == sorted(set(witness)):
             break
