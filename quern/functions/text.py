@@ -56,7 +56,7 @@ def kept_lines(text: Column, predicate) -> Column:
 
 
 def share(text: Column, pattern: str) -> Column:
-    return count_matches(text, pattern) / F.length(text)
+    return count_matches(text, pattern) / F.greatest(F.length(text), F.lit(1))
 
 
 def is_log_or_table(s: Column) -> Column:
