@@ -1,9 +1,10 @@
 """Problem 6: near-duplicate records with small edits.
 
-A question's set holds its runs of three letters or digits. Runs are weighted by the
-square of their inverse frequency, so that phrases common to all questions hardly count.
-DartMinHash throws hashed darts into every run's weighted region and keeps the earliest
-dart of each coordinate; questions that share the coordinates of a band meet in a bucket.
+A question's set holds its runs of three letters or digits, all of one weight, as the
+similarity asked for is that of the plain sets: runs weighted by rarity would hide the
+members of a large group, whose shared runs are common, from each other.
+DartMinHash throws hashed darts into every run's region and keeps the earliest dart of
+each coordinate; questions that share the coordinates of a band meet in a bucket.
 There, one bit of every coordinate gives a quick estimate; what passes is checked exactly
 against the Jaccard similarity of the plain sets. Verified pairs form components, and all
 pairs inside a component are checked too, so that a pair missed by every band is found
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._components import connected_components
-from quern.llm._stats import summed_table
 from quern.llm._text import joined, letters_and_digits, mix64
 from quern.session import cut_lineage
 from quern.sources.tables import table
@@ -70,20 +70,6 @@ def _bucket(packed: np.ndarray) -> np.ndarray:
     return (mix64(packed) >> np.uint64(44)).astype(np.int64)
 
 
-def _fill(batch: pa.RecordBatch, counts: np.ndarray) -> None:
-    texts = [t for q in batch.column(0).to_pylist() if (t := normal(q))]
-    if texts:
-        counts[:TABLE] += np.bincount(_bucket(runs_of(texts)[1]), minlength=TABLE)
-        counts[TABLE] += len(texts)
-
-
-def run_weights(counts: np.ndarray) -> np.ndarray:
-    """Weight of every table entry: squared log inverse frequency, at most 1."""
-    n = max(2.0, float(counts[TABLE]))
-    idf = np.log(n / np.clip(counts[:TABLE], 1, n)) / np.log(n)
-    return np.clip(idf * idf, 1e-3, 1.0)
-
-
 def dart_sketches(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """(texts, COORDINATES) of the earliest dart in each coordinate, rank above identity in 64 bits.
 
@@ -168,48 +154,45 @@ def _rows(key: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.int64())], ["key", "node", "bits"])
 
 
-def _sketch(weights):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = weights.value, set()
-        for batch in batches:
-            fresh: dict[int, str] = {}
-            for q in batch.column(0).to_pylist():
-                t = normal(q)
-                if t is not None and (h := node(t)) not in seen:
-                    seen.add(h)
-                    fresh[h] = t
-            if len(seen) > 2_000_000:
-                seen.clear()
-            for a in range(0, len(fresh), 4096):
-                part = list(fresh.items())[a : a + 4096]
-                keys, bits = bands_and_bits(dart_sketches([t for _, t in part], w))
-                nodes = np.repeat(np.array([h for h, _ in part], dtype=np.int64), BANDS)
-                keys, bits = keys.ravel(), np.repeat(bits, BANDS)
-                order = np.argsort(keys, kind="stable")
-                keys, nodes, bits = keys[order], nodes[order], bits[order]
-                start, size = _runs_of_equal(keys)
-                crowd = np.flatnonzero(size > 64)
-                if len(crowd):  # a bucket crowded already here: link to leaders, send only these on
-                    drop = np.zeros(len(keys), dtype=bool)
-                    extra = []
-                    for c in crowd:
-                        at = slice(start[c], start[c] + size[c])
-                        own_n, own_b, index = nodes[at], bits[at], np.arange(start[c], start[c] + size[c])
-                        while len(own_n) > 1:
-                            same = _equal_bits(own_b[1:], own_b[:1]) >= SAME
-                            if same.any():
-                                m = np.flatnonzero(same) + 1
-                                drop[index[m]] = True
-                                pair_key = mix64(own_n[m].view(np.uint64) ^ mix64(np.array([own_n[0]]).view(np.uint64))).view(np.int64)
-                                extra.append((np.r_[pair_key, pair_key], np.r_[own_n[m], np.full(len(m), own_n[0])], np.r_[own_b[m], np.full(len(m), own_b[0])]))
-                            keep = np.r_[False, ~same]
-                            own_n, own_b, index = own_n[keep], own_b[keep], index[keep]
-                    keys, nodes, bits = keys[~drop], nodes[~drop], bits[~drop]
-                    for k, n, b in extra:
-                        keys, nodes, bits = np.r_[keys, k], np.r_[nodes, n], np.r_[bits, b]
-                yield _rows(keys, nodes, bits)
-
-    return run
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    w, seen = np.ones(TABLE), set()
+    for batch in batches:
+        fresh: dict[int, str] = {}
+        for q in batch.column(0).to_pylist():
+            t = normal(q)
+            if t is not None and (h := node(t)) not in seen:
+                seen.add(h)
+                fresh[h] = t
+        if len(seen) > 2_000_000:
+            seen.clear()
+        for a in range(0, len(fresh), 4096):
+            part = list(fresh.items())[a : a + 4096]
+            keys, bits = bands_and_bits(dart_sketches([t for _, t in part], w))
+            nodes = np.repeat(np.array([h for h, _ in part], dtype=np.int64), BANDS)
+            keys, bits = keys.ravel(), np.repeat(bits, BANDS)
+            order = np.argsort(keys, kind="stable")
+            keys, nodes, bits = keys[order], nodes[order], bits[order]
+            start, size = _runs_of_equal(keys)
+            crowd = np.flatnonzero(size > 64)
+            if len(crowd):  # a bucket crowded already here: link to leaders, send only these on
+                drop = np.zeros(len(keys), dtype=bool)
+                extra = []
+                for c in crowd:
+                    at = slice(start[c], start[c] + size[c])
+                    own_n, own_b, index = nodes[at], bits[at], np.arange(start[c], start[c] + size[c])
+                    while len(own_n) > 1:
+                        same = _equal_bits(own_b[1:], own_b[:1]) >= SAME
+                        if same.any():
+                            m = np.flatnonzero(same) + 1
+                            drop[index[m]] = True
+                            pair_key = mix64(own_n[m].view(np.uint64) ^ mix64(np.array([own_n[0]]).view(np.uint64))).view(np.int64)
+                            extra.append((np.r_[pair_key, pair_key], np.r_[own_n[m], np.full(len(m), own_n[0])], np.r_[own_b[m], np.full(len(m), own_b[0])]))
+                        keep = np.r_[False, ~same]
+                        own_n, own_b, index = own_n[keep], own_b[keep], index[keep]
+                keys, nodes, bits = keys[~drop], nodes[~drop], bits[~drop]
+                for k, n, b in extra:
+                    keys, nodes, bits = np.r_[keys, k], np.r_[nodes, n], np.r_[bits, b]
+            yield _rows(keys, nodes, bits)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +269,7 @@ def _alike(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 def similar_nodes(records: DataFrame) -> DataFrame:
     """Verified pairs (u, v), u < v, of nodes of `records(question)` that met in a bucket."""
-    counts = summed_table(records.select("question"), _fill, TABLE + 1)
-    weights = records.sparkSession.sparkContext.broadcast(run_weights(counts).astype(np.float32).astype(np.float64))
-    rows = records.select("question").mapInArrow(_sketch(weights), "key long, node long, bits long")
+    rows = records.select("question").mapInArrow(_sketch, "key long, node long, bits long")
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long").distinct()
     return cut_lineage(_alike(cut_lineage(pairs), records))
 

@@ -87,3 +87,24 @@ def test_sketches_estimate_weighted_similarity():
     gaps = [(sketch[k] == sketch[k + 1]).mean() - p.jaccard(texts[k], texts[k + 1]) for k in range(len(texts) - 1)]
     assert abs(np.mean(gaps)) < 0.04 and np.abs(gaps).max() < 0.3
     assert (p.dart_sketches(texts[:5], weights) == sketch[:5]).all()
+
+
+def edited_copies(rnd, n, length=60, edit=3):
+    """Copies of one text, each with its own rare edit."""
+    base = "".join(rnd.choice(LETTERS) for _ in range(length))
+    out = []
+    for _ in range(n):
+        at = rnd.randrange(length - edit)
+        out.append(base[:at] + "".join(chr(rnd.randrange(0x5000, 0x9000)) for _ in range(edit)) + base[at + edit :])
+    return out
+
+
+def test_a_third_of_the_rows_are_edited_copies(spark):
+    rnd = random.Random(11)
+    texts = edited_copies(rnd, 200) + ["".join(chr(rnd.randrange(0x5000, 0x9000)) for _ in range(60)) for _ in range(400)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "id long, question string")
+    want = brute(rows)
+    met = {(r.u, r.v) for r in p.similar_nodes(df).collect()}
+    assert len(met) > 0.75 * len(want)
+    assert {tuple(r) for r in p.similar_pairs(df).collect()} == want
