@@ -18,6 +18,7 @@ end, where all pairs are asked for. Questions that are null, blank or shorter th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ RUN, MIN_CHARS, SIMILAR = 3, 20, 0.6
 BANDS, ROWS = 28, 4
 COORDINATES, BITS = BANDS * ROWS, 63
 TABLE = 1 << 20
-#: Equal bits (of BITS, one each of as many coordinates) from which a pair is checked exactly, and from which members of a
-#: crowded bucket count as the same; buckets up to CROWDED are compared member by member.
-AGREE, SAME, CROWDED = 42, 59, 256
+#: Equal bits (of BITS, one each of as many coordinates) from which a pair is checked exactly. Buckets up to CROWDED are
+#: compared in one task; larger ones are spread over SALTS.
+AGREE, CROWDED = 42, 1_024
 #: Components up to this size are paired in one task; larger ones are spread over SALTS.
 LARGE, SALTS = 1_000, 32
 
@@ -127,21 +128,13 @@ def _equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def link_bucket(nodes: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-    """Pairs (2, n) of a bucket that agree in enough bits; nodes are distinct.
-
-    Buckets up to CROWDED compare all members. In larger ones each leader is compared with
-    all that are left, and those that are the same as it, bit for bit but a few, are linked
-    to it and stand for themselves no longer.
-    """
+    """Pairs (2, n) of a bucket that agree in enough bits, every member compared with every other; nodes are distinct."""
     out = []
-    crowded = len(nodes) > CROWDED
     while len(nodes) > 1:
-        agree = _equal_bits(bits[1:], bits[:1])
-        pair = agree >= AGREE
+        pair = _equal_bits(bits[1:], bits[:1]) >= AGREE
         if pair.any():
             out.append(np.stack([np.full(int(pair.sum()), nodes[0]), nodes[1:][pair]]))
-        keep = agree < SAME if crowded else slice(None)
-        nodes, bits = nodes[1:][keep], bits[1:][keep]
+        nodes, bits = nodes[1:], bits[1:]
     return out
 
 
@@ -169,49 +162,38 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = list(fresh.items())[a : a + 4096]
             keys, bits = bands_and_bits(dart_sketches([t for _, t in part], w))
             nodes = np.repeat(np.array([h for h, _ in part], dtype=np.int64), BANDS)
-            keys, bits = keys.ravel(), np.repeat(bits, BANDS)
-            order = np.argsort(keys, kind="stable")
-            keys, nodes, bits = keys[order], nodes[order], bits[order]
-            start, size = _runs_of_equal(keys)
-            crowd = np.flatnonzero(size > 64)
-            if len(crowd):  # a bucket crowded already here: link to leaders, send only these on
-                drop = np.zeros(len(keys), dtype=bool)
-                extra = []
-                for c in crowd:
-                    at = slice(start[c], start[c] + size[c])
-                    own_n, own_b, index = nodes[at], bits[at], np.arange(start[c], start[c] + size[c])
-                    while len(own_n) > 1:
-                        same = _equal_bits(own_b[1:], own_b[:1]) >= SAME
-                        if same.any():
-                            m = np.flatnonzero(same) + 1
-                            drop[index[m]] = True
-                            pair_key = mix64(own_n[m].view(np.uint64) ^ mix64(np.array([own_n[0]]).view(np.uint64))).view(np.int64)
-                            extra.append((np.r_[pair_key, pair_key], np.r_[own_n[m], np.full(len(m), own_n[0])], np.r_[own_b[m], np.full(len(m), own_b[0])]))
-                        keep = np.r_[False, ~same]
-                        own_n, own_b, index = own_n[keep], own_b[keep], index[keep]
-                keys, nodes, bits = keys[~drop], nodes[~drop], bits[~drop]
-                for k, n, b in extra:
-                    keys, nodes, bits = np.r_[keys, k], np.r_[nodes, n], np.r_[bits, b]
-            yield _rows(keys, nodes, bits)
+            yield _rows(keys.ravel(), nodes, np.repeat(bits, BANDS))
+
+
+def _met(*columns: np.ndarray | None) -> pa.RecordBatch:
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["u", "v", "key", "bits"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows that come sorted by key; a bucket may go on in the next batch."""
+    """Candidate pairs (u, v) of rows that come sorted by key; a bucket may go on in the next batch.
+
+    The members of a crowded bucket are handed on instead, as u with key and bits and without v.
+    """
     held = [np.zeros(0, dtype=np.int64)] * 3
 
     def emit(key, nodes, bits):
         start, size = _runs_of_equal(key)
-        found = []
+        found, crowd = [], []
         two = np.flatnonzero(size == 2)  # the common case at once
         a, b = start[two], start[two] + 1
         ok = (_equal_bits(bits[a], bits[b]) >= AGREE) & (nodes[a] != nodes[b])
         found.append(np.stack([nodes[a[ok]], nodes[b[ok]]]))
         for s, n in zip(start[size > 2], size[size > 2]):
             own, first = np.unique(nodes[s : s + n], return_index=True)
-            found += link_bucket(own, bits[s : s + n][first])
+            if len(own) > CROWDED:
+                crowd.append(np.stack([own, np.full(len(own), key[s]), bits[s : s + n][first]]))
+            else:
+                found += link_bucket(own, bits[s : s + n][first])
         both = np.concatenate(found, axis=1)
-        low, high = both.min(axis=0), both.max(axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["u", "v"])
+        yield _met(both.min(axis=0), both.max(axis=0), None, None)
+        for own, at, b in crowd:
+            yield _met(own, None, at, b)
 
     for batch in batches:
         cols = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
@@ -220,9 +202,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(cols[0], cols[0][-1]))
         held = [c[last:] for c in cols]
         if last:
-            yield emit(*(c[:last] for c in cols))
+            yield from emit(*(c[:last] for c in cols))
     if len(held[0]):
-        yield emit(*held)
+        yield from emit(*held)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +228,27 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64())], ["id", "node"])
 
 
-def jaccard(a: str, b: str) -> float:
-    x, y = ({t[k : k + RUN] for k in range(len(t) - RUN + 1)} for t in (a, b))
+def run_set(t: str) -> set[str]:
+    return {t[k : k + RUN] for k in range(len(t) - RUN + 1)}
+
+
+def share(x: set[str], y: set[str]) -> float:
     same = len(x & y)
     return same / (len(x) + len(y) - same)
 
 
+def jaccard(a: str, b: str) -> float:
+    return share(run_set(a), run_set(b))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         u, v, a, b = (batch.column(k).to_pylist() for k in range(4))
-        keep = [k for k in range(len(u)) if jaccard(a[k], b[k]) >= SIMILAR]
+        sets: dict[int, set[str]] = {}
+        for key, t in chain(zip(u, a), zip(v, b)):
+            if key not in sets:
+                sets[key] = run_set(t)
+        keep = [k for k in range(len(u)) if share(sets[u[k]], sets[v[k]]) >= SIMILAR]
         yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], ["u", "v"])
 
 
@@ -267,11 +260,22 @@ def _alike(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return full.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
 
 
+def crowded_pairs(crowd: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, that agree in enough bits, of all members (u, key, bits) of crowded buckets; a bucket is spread over salts."""
+    a = crowd.select("key", "u", F.col("bits").alias("x"), F.pmod("u", F.lit(SALTS)).cast("int").alias("salt"))
+    b = crowd.select("key", F.col("u").alias("v"), F.col("bits").alias("y"), F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS - AGREE
+    return a.join(b, ["key", "salt"]).where(F.col("u") < F.col("v")).where(near).select("u", "v")
+
+
 def similar_nodes(records: DataFrame) -> DataFrame:
     """Verified pairs (u, v), u < v, of nodes of `records(question)` that met in a bucket."""
     rows = records.select("question").mapInArrow(_sketch, "key long, node long, bits long")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long").distinct()
-    return cut_lineage(_alike(cut_lineage(pairs), records))
+    met = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long, key long, bits long").distinct())
+    pairs, crowd = met.where("v is not null").select("u", "v"), met.where("v is null")
+    if not crowd.isEmpty():
+        pairs = cut_lineage(pairs.union(crowded_pairs(crowd)).distinct())
+    return cut_lineage(_alike(pairs, records))
 
 
 def members(records: DataFrame) -> DataFrame:
@@ -279,14 +283,22 @@ def members(records: DataFrame) -> DataFrame:
     return records.select(F.col("id").cast("long"), "question").mapInArrow(_members, "id long, node long").distinct()
 
 
+def _alike_nodes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (u, v) of alike nodes that met in a bucket, the other alike pairs inside components, and (node, component)."""
+    edges = similar_nodes(records)
+    parts = cut_lineage(connected_components(edges))
+    more = cut_lineage(_alike(cut_lineage(_within(parts).join(edges, ["u", "v"], "left_anti")), records))
+    return edges, more, parts
+
+
 def groups(records: DataFrame) -> DataFrame:
     """(id, group_id, links): one row a record; links counts the different texts it is directly alike to.
 
     A group is named by its least record id; a record without partner is its own group.
     """
-    edges = similar_nodes(records)
-    parts = connected_components(edges)
-    links = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    edges, more, parts = _alike_nodes(records)
+    found = edges.union(more)
+    links = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     own = members(records).join(parts, "node", "left").join(links, "node", "left").select("id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")).persist()
     name = own.groupBy("component").agg(F.min("id").alias("group_id"))
     return own.join(name, "component").select("id", "group_id", "links").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
@@ -307,13 +319,12 @@ def _within(parts: DataFrame) -> DataFrame:
 
 def similar_pairs(records: DataFrame) -> DataFrame:
     """All pairs (id_a, id_b) of different records that are alike, exact copies included."""
-    edges = similar_nodes(records)
-    more = _alike(cut_lineage(_within(connected_components(edges)).join(edges, ["u", "v"], "left_anti")), records)
+    edges, more, _ = _alike_nodes(records)
     own = members(records).persist()
     ids = own.groupBy("node").agg(F.count("*").alias("n"))
     copies = own.join(ids.where("n > 1").select("node"), "node", "left_semi")
     same = copies.select("node", F.col("id").alias("x")).join(copies.select("node", F.col("id").alias("y")), "node").where("x < y").select("x", "y")
-    found = edges.union(more).distinct()
+    found = edges.union(more)
     apart = found.join(own.select(F.col("node").alias("u"), F.col("id").alias("x")), "u").join(own.select(F.col("node").alias("v"), F.col("id").alias("y")), "v").where("x <> y").select("x", "y")
     return same.union(apart).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

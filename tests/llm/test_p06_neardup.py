@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quern.llm import p06_neardup as p
 from quern.llm._components import connected_components
@@ -108,3 +109,25 @@ def test_a_third_of_the_rows_are_edited_copies(spark):
     met = {(r.u, r.v) for r in p.similar_nodes(df).collect()}
     assert len(met) > 0.75 * len(want)
     assert {tuple(r) for r in p.similar_pairs(df).collect()} == want
+
+
+def test_crowded_buckets_compare_all_members(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    base, low = np.int64(0x1234567812345678), (1 << rnd.integers(0, 60, (40, 12))).astype(np.int64)
+    bits = base ^ np.bitwise_xor.reduce(low, axis=1)
+    nodes = np.arange(40, dtype=np.int64)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (int(bits[a]) ^ int(bits[b])).bit_count() <= p.BITS - p.AGREE}
+    met = lambda: pa.Table.from_batches(p._pairs(iter([p._rows(np.full(40, 7), nodes, bits)])))
+    assert {(r["u"], r["v"]) for r in met().to_pylist()} == want and 0 < len(want) < 780
+    monkeypatch.setattr(p, "CROWDED", 8)
+    crowd = [(r["u"], r["key"], r["bits"]) for r in met().to_pylist()]
+    assert {tuple(r) for r in p.crowded_pairs(spark.createDataFrame(crowd, "u long, key long, bits long")).collect()} == want
+
+
+def test_links_count_every_alike_text_of_a_large_group(spark):
+    rnd = random.Random(11)
+    texts = edited_copies(rnd, 200) + ["".join(chr(rnd.randrange(0x5000, 0x9000)) for _ in range(60)) for _ in range(400)]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    got = {r.id: r.links for r in p.groups(spark.createDataFrame(rows, "id long, question string")).collect()}
+    assert got == {i: sum(i in pair for pair in want) for i, _ in rows}
