@@ -28,8 +28,8 @@ from quern.sources.tables import table
 
 MIN_RUN, COVERAGE, REPLACED = 5, 0.5, 0.1
 MAX_TOKENS = 3_000_000
-#: Diagonals may drift by so many tokens between neighbouring matches of a chain.
-DRIFT = 3
+#: Diagonals may drift by so many tokens between neighbouring matches of a chain, which lie at most GAP apart.
+DRIFT, GAP = 3, 12
 _TOKEN = re.compile(r"[一-鿿㐀-䶿豈-﫿ぁ-ヿ]|\d|[^\W\d_一-鿿㐀-䶿豈-﫿ぁ-ヿ]+")
 _TIGHT = re.compile(r"(?<=[a-z])[-‐‑\xad¬]\s*\n\s*(?=[a-z])")
 
@@ -171,16 +171,25 @@ def _best_chain(found: list[tuple[int, int, int]], doc: list[int], item: list[in
 
     Neighbours must lie in order, on diagonals at most DRIFT apart, with at most the
     permitted share of other tokens in between; matched tokens inside a gap are counted
-    along the diagonal.
+    along the diagonal. Matches of one diagonal never overlap, so looking back along each
+    diagonal in reach ends at the first match that lies too far before.
     """
+    diagonals: dict[int, list[int]] = defaultdict(list)
     best: list[tuple[int, int, int, int]] = []  # covered weight, first doc token, matched tokens, other tokens
     answer = None
     for k, (i, d, r) in enumerate(found):
         own = (weight[i + r] - weight[i], d, r, 0)
-        for j in range(max(0, k - 40), k):
+        near = []
+        for diagonal in range(d - i - DRIFT, d - i + DRIFT + 1):
+            for j in reversed(diagonals.get(diagonal, ())):
+                if i - (found[j][0] + found[j][2]) > GAP:
+                    break
+                near.append(j)
+        diagonals[d - i].append(k)
+        for j in sorted(near):
             pi, pd, pr = found[j]
             gap_i, gap_d = i - (pi + pr), d - (pd + pr)
-            if gap_i < 0 or gap_d < 0 or abs(gap_i - gap_d) > DRIFT or gap_i > 12 or gap_d > 12:
+            if gap_i < 0 or gap_d < 0 or abs(gap_i - gap_d) > DRIFT or gap_i > GAP or gap_d > GAP:
                 if pi < i < pi + pr and abs((i - d) - (pi - pd)) <= DRIFT and d > pd:  # overlapping matches
                     cut = max(pi + pr - i, pd + pr - d)
                     if cut < r:

@@ -46,3 +46,13 @@ def test_rows(spark):
 def test_tables(spark, data):
     found = p.p7_found(spark, data)
     assert found.columns == ["doc_id", "item_id"] and found.count() == found.distinct().count() > 0
+
+
+def test_many_altered_copies_in_one_document():
+    item = " ".join(f"word{k}" for k in range(30))
+    altered = " ".join("other" if k % 10 == 9 else f"word{k}" for k in range(30))
+    items = p.Items([(1, item)])
+    once, often = (p.leaks_in(" filler text between copies of it ".join([altered] * n), items) for n in (1, 60))
+    assert [r[0] for r in once] == [0] and often[0][3] == once[0][3] > 0.85
+    # a phrase of the item that stands often before the leak
+    assert p.leaks_in("word0 word1 word2 word3 word4 x y z " * 60 + altered, items)[0][3] == once[0][3]
