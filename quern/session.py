@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,16 @@ def build_session(app: str = "quern", master: str | None = None, **conf: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Points checkpoints at the shared folder named in `spark.checkpoint.dir`.
 
-    Only where the setting is absent and no folder was set (tests, a single machine)
-    is a fresh temporary folder used.
+    Only where the setting is absent and the master is this one machine (tests, bench)
+    is a fresh temporary folder used; on a cluster without the setting this raises, as a
+    machine's own folder would be lost with the machine.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
 
 
