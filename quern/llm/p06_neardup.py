@@ -94,7 +94,7 @@ def dart_sketches(texts: list[str], weights: np.ndarray) -> np.ndarray:
         live = np.unique(occ_gram)
         while len(live):
             dart += 1
-            h = mix64(seed[live] + np.uint64(dart) * np.uint64(0x9E3779B97F4A7C15))
+            h = mix64(seed[live] + np.full(1, dart, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             rank[live] -= np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / w[live]
             g = mix64(h)
             value = np.zeros(len(grams), dtype=np.uint64)
