@@ -25,6 +25,24 @@ def test_balance_meets_targets_and_caps(spark):
     assert abs(b / got["b"].target - 1) < 0.1
 
 
+def test_dual_finds_what_sums_say(spark):
+    # short documents beside long ones: rates of the short ones reach the cap last
+    rows = [(s, t, 1 + t % 3) for s in "abcdefgh" for t in (0, 1, 2, 50, 400, 1000)]
+    counted = spark.createDataFrame(rows, "source string, tokens long, docs long")
+    whole = sum(t * n for _, t, n in rows) / 8
+    weights = {"a": 1 / 8, "b": 3 / 8, "c": 2 / 8, "d": 1.999 / 8, "e": 2.001 / 8, "f": 1e-4, "g": 0.0, "h": 0.5 / 8}
+    targets = spark.createDataFrame([(s, w, 2) for s, w in weights.items()] + [("zero", 0.1, 0), ("nodocs", 0.1, 9)], "source string, weight double, max_repeat int")
+    got = {r.source: r for r in p.balance(counted, targets).collect()}
+    apart = {r.source: r for r in p.balance(counted, targets, held_rows=0).collect()}
+    assert apart == got
+    for s, w in weights.items():
+        assert got[s].reachable == (w * 8 * whole <= 2 * whole * (1 + 1e-9)), s
+        if got[s].reachable and w > 0:
+            mass = sum(t * n * min(2.0, math.exp(min(60.0, got[s].multiplier * t / got[s].mean))) for q, t, n in rows if q == s)
+            assert abs(mass - got[s].target) <= 1e-6 * got[s].target and abs(got[s].gap) <= 1e-6 * got[s].target
+    assert not got["zero"].reachable and not got["nodocs"].reachable and got["b"].gap < 0
+
+
 def test_empty_and_null(spark):
     docs = spark.createDataFrame([(1, "a", None, 1), (2, "a", "", 1), (3, None, "x y", 1), (4, "a", "word " * 30000, 1)], "doc_id long, source string, text string, tokens int")
     counts = {r.doc_id: r.tokens for r in p.token_counts(docs).collect()}
