@@ -9,8 +9,11 @@ that replaced words only break a match, not the chain. A chain that gives at lea
 `COVERAGE` of an item within the replacement limit is a leak; its span can be removed.
 
 Null and empty documents hold nothing. An item with fewer than `MIN_RUN` tokens, or a
-null one, can't leak. Items with the same text leak together. The items must fit into
-`MAX_TOKENS` tokens; the automaton alone is sent to the executors.
+null one, can't leak. Items with the same text leak together. An item that shares a run
+with another one is matched against an automaton of its own as well, as its passage may
+lie inside a longer match of the other. The held-out items are read by the driver; sets of
+more than `SHARD_TOKENS` tokens get several automata, each of which sees every document.
+Removal cuts the stored text; what stands outside the leaked spans stays as it is.
 """
 
 from __future__ import annotations
@@ -27,13 +30,40 @@ from pyspark.sql import functions as F
 from quern.sources.tables import table
 
 MIN_RUN, COVERAGE, REPLACED = 5, 0.5, 0.1
-MAX_TOKENS = 3_000_000
-#: Diagonals may drift by so many tokens between neighbouring matches of a chain, which lie at most GAP apart.
+#: Most tokens in one automaton (each worker builds it from the items' texts, about 200 MB).
+SHARD_TOKENS = 250_000
+#: Diagonals may drift by so many tokens between neighbouring matches of a chain, which lie at most GAP or the replaceable share of the item apart.
 DRIFT, GAP = 3, 12
 _TOKEN = re.compile(r"[一-鿿㐀-䶿豈-﫿ぁ-ヿ]|\d|[^\W\d_一-鿿㐀-䶿豈-﫿ぁ-ヿ]+")
 _TIGHT = re.compile(r"(?<=[a-z])[-‐‑\xad¬]\s*\n\s*(?=[a-z])")
 
 
+# Marks that combine with the character before them under NFKC; the other characters normalise on their own.
+_CLUSTER = re.compile(r"(?s).[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u0e31-\u0e4e\u1161-\u11ff\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f\uff9e\uff9f]*")
+
+
+def placed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """The tokens of `tokens_of` with their first and last place (exclusive) in the stored text."""
+    if text.isascii():
+        flat, start, stop = text.lower(), range(len(text)), range(1, len(text) + 1)
+    else:
+        parts, start, stop = [], [], []
+        for m in _CLUSTER.finditer(text):
+            part = unicodedata.normalize("NFKC", m.group()).lower()
+            parts.append(part)
+            start += [m.start()] * len(part)
+            stop += [m.end()] * len(part)
+        flat = "".join(parts)
+    keep, at = [], 0
+    for m in _TIGHT.finditer(flat) if "\n" in flat else ():
+        keep += range(at, m.start())
+        at = m.end()
+    if at:
+        keep += range(at, len(flat))
+        flat, start, stop = "".join(flat[k] for k in keep), [start[k] for k in keep], [stop[k] for k in keep]
+    return [(m.group(), start[m.start()], stop[m.end() - 1]) for m in _TOKEN.finditer(flat)]
+
+
 def tokens_of(text: str) -> list[str]:
     """Normalised tokens of a text; words cut at line ends are joined first."""
     text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
@@ -136,8 +166,6 @@ class Items:
             self.ids[at].append(key)
         self.words: dict[str, int] = {}
         self.tokens = [[self.words.setdefault(w, len(self.words)) for w in t] for t in texts]
-        if sum(map(len, self.tokens)) > MAX_TOKENS:
-            raise ValueError(f"test items of more than {MAX_TOKENS} tokens")
         self.weight = []
         for t in texts:
             total = [0]
@@ -145,16 +173,34 @@ class Items:
                 total.append(total[-1] + len(w))
             self.weight.append(total)
         self.automaton = SuffixAutomaton(self.tokens)
-
-
-def leaks_in(text: str, items: Items) -> list[tuple[int, int, int, float]]:
-    """(index of item, first token, last token, share of the item's text) of each leak in a document."""
-    words = items.words
-    tokens = [words.get(w, -1) for w in tokens_of(text)]
+        self.related: dict[int, set[int]] = defaultdict(set)
+        runs: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        for item, t in enumerate(self.tokens):
+            for k in range(len(t) - MIN_RUN + 1):
+                runs[tuple(t[k : k + MIN_RUN])].add(item)
+        for members in runs.values():
+            if len(members) > 1:
+                for item in members:
+                    self.related[item] |= members - {item}
+        self._alone: dict[int, SuffixAutomaton] = {}
+
+    def alone(self, item: int) -> SuffixAutomaton:
+        if item not in self._alone:
+            self._alone[item] = SuffixAutomaton([self.tokens[item]])
+        return self._alone[item]
+
+
+def _leaks(words: list[str], items: Items) -> list[tuple[int, int, int, float]]:
+    known = items.words
+    tokens = [known.get(w, -1) for w in words]
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for end, run, state in items.automaton.matches(tokens, MIN_RUN):
         for item, at in items.automaton.where(state):
             runs[item].append((at - run + 1, end - run + 1, run))
+    for item in {r for i in list(runs) for r in (i, *items.related.get(i, ()))} if items.related else ():
+        if items.related.get(item):
+            own = items.alone(item)
+            runs[item] = [(at - run + 1, end - run + 1, run) for end, run, state in own.matches(tokens, MIN_RUN) for _, at in own.where(state)]
     out = []
     for item, found in runs.items():
         n = len(items.tokens[item])
@@ -166,6 +212,11 @@ def leaks_in(text: str, items: Items) -> list[tuple[int, int, int, float]]:
     return out
 
 
+def leaks_in(text: str, items: Items) -> list[tuple[int, int, int, float]]:
+    """(index of item, first token, last token, share of the item's text) of each leak in a document."""
+    return _leaks(tokens_of(text), items)
+
+
 def _best_chain(found: list[tuple[int, int, int]], doc: list[int], item: list[int], weight: list[int]) -> tuple[int, int, float] | None:
     """The chain of matches (item start, document start, length) that covers most of the item.
 
@@ -174,6 +225,7 @@ def _best_chain(found: list[tuple[int, int, int]], doc: list[int], item: list[in
     along the diagonal. Matches of one diagonal never overlap, so looking back along each
     diagonal in reach ends at the first match that lies too far before.
     """
+    wide = max(GAP, int(REPLACED * len(item)))
     diagonals: dict[int, list[int]] = defaultdict(list)
     best: list[tuple[int, int, int, int]] = []  # covered weight, first doc token, matched tokens, other tokens
     answer = None
@@ -182,14 +234,14 @@ def _best_chain(found: list[tuple[int, int, int]], doc: list[int], item: list[in
         near = []
         for diagonal in range(d - i - DRIFT, d - i + DRIFT + 1):
             for j in reversed(diagonals.get(diagonal, ())):
-                if i - (found[j][0] + found[j][2]) > GAP:
+                if i - (found[j][0] + found[j][2]) > wide:
                     break
                 near.append(j)
         diagonals[d - i].append(k)
         for j in sorted(near):
             pi, pd, pr = found[j]
             gap_i, gap_d = i - (pi + pr), d - (pd + pr)
-            if gap_i < 0 or gap_d < 0 or abs(gap_i - gap_d) > DRIFT or gap_i > GAP or gap_d > GAP:
+            if gap_i < 0 or gap_d < 0 or abs(gap_i - gap_d) > DRIFT or gap_i > wide or gap_d > wide:
                 if pi < i < pi + pr and abs((i - d) - (pi - pd)) <= DRIFT and d > pd:  # overlapping matches
                     cut = max(pi + pr - i, pd + pr - d)
                     if cut < r:
@@ -213,66 +265,81 @@ def _best_chain(found: list[tuple[int, int, int]], doc: list[int], item: list[in
     return answer and (answer[0], answer[1], answer[2] / weight[-1])
 
 
-def _report(items):
+_BUILT: dict = {}
+
+
+def _built(rows) -> Items:
+    """The automaton of a broadcast shard, built once in a worker process."""
+    key = hash(tuple(rows.value))
+    if key not in _BUILT:
+        _BUILT[key] = Items(rows.value)
+    return _BUILT[key]
+
+
+def _report(rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = items.value
+        known = [_built(r) for r in rows]
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    for item, first, last, share in leaks_in(text, known):
-                        out += [(key, i, first, last, share) for i in known.ids[item]]
+                words = tokens_of(text) if text else ()
+                for items in known if words else ():
+                    for item, first, last, share in _leaks(words, items):
+                        out += [(key, i, first, last, share) for i in items.ids[item]]
             kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), ["doc_id", "item_id", "first_token", "last_token", "share"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(5)], names)
 
     return run
 
 
-def _collect_items(items: DataFrame) -> list[tuple[int, str]]:
-    rows = items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).collect()[0][0]
-    if size > 8 * MAX_TOKENS:
-        raise ValueError("the test items are too large for one automaton; split them")
-    return sorted((r[0], r[1]) for r in rows.collect() if r[0] is not None)
+def shards_of(rows: list[tuple[int, str]], most: int) -> list[list[tuple[int, str]]]:
+    """Items in shards of at most `most` tokens, a longer item by itself; items that share a run may fall apart, as each shard reports its own."""
+    out, held = [], most
+    for key, text in rows:
+        size = len(tokens_of(text)) if text else 0
+        if held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append((key, text))
+        held += size
+    return out
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_token, last_token, share): one row a leak, for `docs(doc_id, text)` and `items(item_id, text)`."""
-    known = docs.sparkSession.sparkContext.broadcast(Items(_collect_items(items)))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_report(known), "doc_id long, item_id long, first_token int, last_token int, share double")
+def _sent_items(docs: DataFrame, items: DataFrame) -> list:
+    rows = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct().collect()
+    return [docs.sparkSession.sparkContext.broadcast(shard) for shard in shards_of(sorted((r[0], r[1]) for r in rows), SHARD_TOKENS)]
 
 
-_SPAN = re.compile(_TOKEN.pattern)
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, first_token, last_token, share): one row a leak, for `docs(doc_id, text)` and `items(item_id, text)`."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_report(_sent_items(docs, items)), "doc_id long, item_id long, first_token int, last_token int, share double")
 
 
-def remove_leaks(text: str | None, items: Items) -> str | None:
-    """The text without the token spans of its leaks (found in NFKC form, which is what comes back when something leaks)."""
+def remove_leaks(text: str | None, shards: list[Items]) -> str | None:
+    """The stored text without the spans of its leaks."""
     if not text:
         return text
-    found = leaks_in(text, items)
-    if not found:
+    words = tokens_of(text)
+    if not any(_leaks(words, items) for items in shards):
         return text
-    flat = unicodedata.normalize("NFKC", text)
-    low = flat.lower()
-    flat = flat if len(low) == len(flat) else low
-    if "\n" in low and _TIGHT.search(low):
-        flat = low = _TIGHT.sub("", low)
-    spots = [m.span() for m in _TOKEN.finditer(low)]
-    gone = sorted((spots[a][0], spots[b][1]) for _, a, b, _ in found)
+    placed = placed_tokens(text)
+    words = [w for w, *_ in placed]
+    gone = sorted((placed[a][1], placed[b][2]) for items in shards for _, a, b, _ in _leaks(words, items))
     out, at = [], 0
     for a, b in gone:
-        out.append(flat[at : max(at, a)])
+        out.append(text[at : max(at, a)])
         at = max(at, b)
-    return "".join(out) + flat[at:]
+    return "".join(out) + text[at:]
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text) with the leaked spans removed."""
-    known = docs.sparkSession.sparkContext.broadcast(Items(_collect_items(items)))
+    rows = _sent_items(docs, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [_built(r) for r in rows]
         for batch in batches:
-            texts = [remove_leaks(t, known.value) for t in batch.column(1).to_pylist()]
+            texts = [remove_leaks(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")

@@ -56,3 +56,20 @@ def test_many_altered_copies_in_one_document():
     assert [r[0] for r in once] == [0] and often[0][3] == once[0][3] > 0.85
     # a phrase of the item that stands often before the leak
     assert p.leaks_in("word0 word1 word2 word3 word4 x y z " * 60 + altered, items)[0][3] == once[0][3]
+
+
+def test_stored_text_stays(monkeypatch):
+    text = "Dr. Smith, ﬁrst floor, MONDAY re-\nading Ⅻ.\n" + "THE nurse will rec-\nord every change of the READING, and the doctor decides in autumn whether another visit is needed at all." + "\nCafe\u0301 “Ｆｕｌｌ” stays"
+    items = p.Items([(1, OTHER)])
+    assert p.remove_leaks(text, [items]) == "Dr. Smith, ﬁrst floor, MONDAY re-\nading Ⅻ.\n.\nCafe\u0301 “Ｆｕｌｌ” stays"
+    for t in (text, "plain ASCII cut-\nting", "가각 e\u0301ﬃ ｶﾞ half", ITEM, ""):
+        assert [w for w, *_ in p.placed_tokens(t)] == p.tokens_of(t)
+    rows = [(1, OTHER), (2, ITEM)]
+    assert [len(s) for s in p.shards_of(rows, 5)] == [1, 1] and p.shards_of(rows, 10**6) == [rows] and p.shards_of([], 5) == []
+
+
+def test_passage_inside_a_longer_match_of_another_item():
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = p.Items([(1, "a1 a2 a3 a4 a5 a6 a7 " + shared + " b1 b2 b3 b4 b5 b6 b7"), (2, "c1 c2 " + shared + " d1 d2"), (3, "e1 e2 e3 e4 e5 e6")])
+    found = p.leaks_in("x y a5 a6 a7 " + shared + " b1 b2 z", items)
+    assert {items.ids[i][0] for i, *_ in found} == {1, 2}
