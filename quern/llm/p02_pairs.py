@@ -42,6 +42,10 @@ SEED_TEXTS = {
     "es": "Hoy hace buen tiempo y vamos a pasear por el parque. Dijo que la pregunta se debe revisar otra vez, y si mañana hay tiempo, puede mirar primero el resultado. El médico aconseja tomar la medicina cada día y anotar los cambios. No hay pruebas de que este método cambie el curso de la enfermedad, así que conviene seguir observando. Por favor traiga sus papeles, responderemos en siete días. Si la molestia aumenta, conviene esperar unas horas y llamar al servicio. El paciente debe saber que la segunda lectura fue algo superior a lo habitual.",
     "pt": "Hoje o tempo está bom e vamos passear no parque. Ele disse que a pergunta deve ser verificada mais uma vez, e se amanhã houver tempo, você pode olhar primeiro o resultado. O médico aconselha tomar o remédio todos os dias e anotar as mudanças. Ainda não há provas de que este método mude o curso da doença, por isso convém continuar a observar. Traga os seus papéis, por favor, responderemos em sete dias. Se o incômodo aumentar, espere algumas horas e ligue. A segunda leitura foi um pouco maior que o habitual.",
     "it": "Oggi il tempo è bello e andiamo a passeggiare nel parco. Ha detto che la domanda deve essere controllata ancora una volta, e se domani c'è tempo, può guardare prima il risultato. Il medico consiglia di prendere la medicina ogni giorno e di annotare i cambiamenti. Non ci sono prove che questo metodo cambi il decorso, quindi conviene continuare a osservare. Porti per favore i suoi documenti, risponderemo entro sette giorni. Se il disturbo aumenta, aspetti qualche ora e chiami il servizio. La seconda misura era un po' più alta del solito.",
+    "vi": "Hôm nay trời đẹp và chúng tôi đi dạo trong công viên. Anh ấy nói rằng câu hỏi này cần được kiểm tra lại một lần nữa, và nếu ngày mai có thời gian thì bạn có thể xem kết quả trước. Bác sĩ khuyên nên uống thuốc mỗi ngày và ghi lại những thay đổi. Cho đến nay chưa có bằng chứng cho thấy phương pháp này làm thay đổi diễn biến của bệnh, vì vậy nên tiếp tục theo dõi. Xin vui lòng mang theo giấy tờ, chúng tôi sẽ trả lời trong vòng bảy ngày. Nếu khó chịu tăng lên, hãy chờ vài giờ rồi gọi điện.",
+    "tr": "Bugün hava güzel ve parkta yürüyüşe çıkıyoruz. Bu sorunun bir kez daha kontrol edilmesi gerektiğini söyledi, yarın vaktiniz olursa önce sonuca bakabilirsiniz. Doktor ilacı her gün almanızı ve değişiklikleri not etmenizi öneriyor. Bu yöntemin hastalığın gidişini değiştirdiğine dair henüz bir kanıt yok, bu yüzden izlemeye devam edilmeli. Lütfen belgelerinizi getirin, yedi gün içinde cevap vereceğiz. Şikayetler artarsa birkaç saat bekleyin ve bizi arayın. İkinci ölçüm her zamankinden biraz daha yüksekti.",
+    "pl": "Dzisiaj jest ładna pogoda i idziemy na spacer do parku. Powiedział, że to pytanie trzeba sprawdzić jeszcze raz, a jeśli jutro będzie czas, można najpierw spojrzeć na wynik. Lekarz zaleca przyjmować lek codziennie i zapisywać zmiany. Nie ma jeszcze dowodów, że ta metoda zmienia przebieg choroby, dlatego należy dalej obserwować. Proszę przynieść dokumenty, odpowiemy w ciągu siedmiu dni. Jeśli dolegliwości się nasilą, proszę poczekać kilka godzin i zadzwonić.",
+    "id": "Hari ini cuaca cerah dan kami berjalan-jalan di taman. Dia mengatakan bahwa pertanyaan ini perlu diperiksa sekali lagi, dan jika besok ada waktu, Anda dapat melihat hasilnya terlebih dahulu. Dokter menyarankan untuk minum obat setiap hari dan mencatat perubahan. Belum ada bukti bahwa cara ini mengubah perjalanan penyakit, jadi sebaiknya terus diamati. Silakan bawa surat-surat Anda, kami akan menjawab dalam tujuh hari. Jika keluhan bertambah, tunggu beberapa jam lalu hubungi kami.",
     "ar": "الطقس جميل اليوم ونحن ذاهبون للمشي في الحديقة. قال إن السؤال يجب أن يراجع مرة أخرى، وإذا كان هناك وقت غدا يمكنك أن تنظر أولا إلى النتيجة. ينصح الطبيب بتناول الدواء كل يوم وتسجيل كل تغير. لا يوجد دليل حتى الآن على أن هذه الطريقة تغير مسار المرض. من فضلك أحضر أوراقك وسنجيب خلال سبعة أيام. إذا زادت الشكوى فانتظر بضع ساعات ثم اتصل.",
 }
 LANGUAGES = tuple(SEED_TEXTS)
@@ -211,6 +215,7 @@ COURTESY = re.compile(
     r"|\b(?:sorry|apolog|unfortunately|regret|thank|please|try (?:another|a different|again)|ask a|consult|contact|see a|understanding)\b",
     re.I,
 )
+_WORDS, _MARKS = re.compile(r"[^\W_]+"), re.compile(r"[\u0300-\u036f\u1161-\u11ff\u3099\u309a\uff9e\uff9f]")
 _SENTENCES = re.compile(r"[。！？!?\n\r；;]+|(?<=[a-z])\.(?=\s|$)")
 _CLAUSES = re.compile(r"[，,]|\s-\s")
 _LIST_NUMBER = re.compile(r"(?:^|[\n\r])[ \t　]*(?:[(（]?\d{1,3}[)）.、．:：]|第?[一二三四五六七八九十]{1,3}[、.．)）]|[-*•·●▪])[ \t　]*$")
@@ -228,7 +233,7 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Every sentence declines or is a courtesy, at least one declines, and nothing else is said."""
-    if len(answer) > 600 or not DECLINES.search(answer):
+    if not DECLINES.search(answer):
         return False
     declined = False
     for sentence in _SENTENCES.split(answer):
@@ -246,10 +251,12 @@ def is_refusal(answer: str) -> bool:
 
 def is_copy(question: str, answer: str) -> bool:
     """The answer's runs of three letters are the question's, save a lead-in, and cover most of it."""
-    if len(answer) > 3 * len(question) + 120:
+    q = letters_and_digits(question)
+    # each code point gives a letter at least, unless it is a sign or a space: a quick bound before the answer is normalised
+    if len(q) < 6 or len(answer) > 3 * len(question) + 120 and sum(map(len, _WORDS.findall(answer))) > 2 * len(q) + 60 + len(_MARKS.findall(answer)):
         return False
-    q, a = letters_and_digits(question), letters_and_digits(answer)
-    if len(q) < 6 or not 0.6 * len(q) <= len(a) <= 2 * len(q) + 60:
+    a = letters_and_digits(answer)
+    if not 0.6 * len(q) <= len(a) <= 2 * len(q) + 60:
         return False
     grams = {q[k : k + 3] for k in range(len(q) - 2)}
     known = [a[k : k + 3] in grams for k in range(len(a) - 2)]
@@ -280,7 +287,7 @@ def is_truncated(answer: str, counts: np.ndarray) -> bool:
         return False
     if last in ";；":
         return True
-    tail = text[-200:]
+    tail = text[text.rfind("\n") + 1 :]  # the last line, however long
     for close, opened in _PAIRS.items():
         if tail.rfind(opened) > tail.rfind(close) and opened in "（(“「『《【":
             return True

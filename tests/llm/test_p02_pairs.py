@@ -41,6 +41,7 @@ def test_language_model_on_held_out_text():
         "zh": "护士会在早上来看您，请不要担心。", "en": "The nurse is going to see you in the morning, do not worry.", "ja": "朝に看護師が来ますので、心配しないでください。",
         "ru": "Утром придёт медсестра, не беспокойтесь об этом.", "de": "Am Morgen kommt die Schwester, machen Sie sich keine Sorgen.", "es": "Por la mañana vendrá la enfermera, no se preocupe por eso.",
         "fr": "Une infirmière viendra vous voir le matin, ne vous inquiétez pas.", "ko": "아침에 간호사가 올 것이니 걱정하지 마세요.",
+        "vi": "Sáng mai y tá sẽ đến thăm bạn, xin đừng lo lắng.", "tr": "Sabah hemşire sizi görmeye gelecek, merak etmeyin.", "pl": "Rano przyjdzie pielęgniarka, proszę się nie martwić.", "id": "Perawat akan datang pada pagi hari, jangan khawatir.",
     }
     scores, letters = p.language_scores([*held.values(), ""], p.train_languages())
     assert [p.LANGUAGES[k] for k in scores[:-1].argmax(axis=1)] == list(held) and letters[-1] == 0
@@ -57,6 +58,15 @@ def test_rules():
     assert not p.is_copy(q, q + "先观察三天，如果发热就去医院做检查，平时多喝水。") and not p.is_copy("", "x")
 
 
+def test_long_texts_are_read_to_their_end():
+    q = "家里老人今年八十岁，夜里咳嗽三天了，要不要先查一下胸片？"
+    spaced = (" " * 20).join(q)
+    assert p.is_copy(q, spaced) and p.is_copy(q, q + "\n" * 2000 + q) and not p.is_copy(q, q + "先观察三天。" * 200)
+    assert p.is_refusal("抱歉，我无法回答这个问题。" * 80) and not p.is_refusal("抱歉，我无法回答这个问题。" * 80 + "请每天记录一次读数，并在第三周复查一次，必要时由医生调整剂量和用法。")
+    table = counts(GOOD)
+    assert p.is_truncated("先观察（见" + "每天记录读数和感受" * 60 + "一次", table)
+
+
 def test_truncation():
     table = counts(GOOD)
     assert not p.is_truncated("每天记录一次读数，并在第7周复查一次", table)
