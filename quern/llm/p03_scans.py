@@ -1,8 +1,10 @@
 """Problem 3: noise in text from scanned pages.
 
 A first pass counts words, character trigrams and header shapes over all scanned files.
-From these the driver learns, within fixed bounds, the vocabulary, which characters are
-misread as which, and how running headers begin and end. A second pass marks each file's
+From these are learned the vocabulary, which characters are misread as which, and how
+running headers begin and end; nothing is ranked and cut off: words and trigrams count as
+known from a share of the corpus on, so that the tables sent to the executors have a size
+that does not follow the corpus. A second pass marks each file's
 lines: page numbers (number sequences alone on their lines), running headers (fuzzily
 repeated lines at page edges, or lines of a learned header shape), words cut at line ends
 (the joined word beats the hyphenated compound in the vocabulary) and lines with
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from quern.llm._text import code_points, letters_only
 from quern.sources.tables import table
 
-#: Most words, trigrams and header shapes kept (by count), and the least count of each.
-MAX_WORDS, MAX_TRIGRAMS, MAX_CUES, LEAST = 150_000, 800_000, 2_000, 3
+#: Least count of a known word, trigram or header shape, and the least share of all words or trigrams (there are at most
+#: 1 / share of either; below 30 million words or 150 million trigrams the least count is the greater one).
+LEAST, WORD_SHARE, TRIGRAM_SHARE = 3, 1e-7, 2e-8
+#: A word may be a misreading if the right word is OFTEN times as frequent, or if it stays within twice the rate learned for that misreading.
+OFTEN = 15
 
 # Ways in which a page number stands alone on its line.
 PAGE_NUMBER = re.compile(
@@ -52,7 +57,9 @@ _STRIP = " \t\r\v\f　\xa0﻿"
 
 def _number(line: str) -> int | None:
     """The number of a line that holds only a page number."""
-    if not line or len(line) > 24:
+    if len(line) > 60:
+        line = " ".join(line.split())
+    if not line or len(line) > 60:  # with single spaces the pattern has no longer match
         return None
     m = PAGE_NUMBER.match(line)
     if not m or line[-1] == "." and line[0].isdigit():
@@ -79,12 +86,13 @@ def page_numbers(lines: list[str]) -> list[int]:
     if len(found) < 2:
         return [k for k, _ in found if any(c.isdigit() for c in lines[k]) or len(lines[k]) > 2]
     best: list[tuple[int, int]] = []  # per index: length of its chain, previous
+    ends: dict[int, int] = {}  # number -> first index with the longest chain that ends in it
     for j, (_, n) in enumerate(found):
-        length, back = 1, -1
-        for i in range(max(0, j - 60), j):
-            if 0 < n - found[i][1] <= 3 and best[i][0] + 1 > length:
-                length, back = best[i][0] + 1, i
-        best.append((length, back))
+        before = [ends[m] for m in (n - 1, n - 2, n - 3) if m in ends]
+        back = max(before, key=lambda i: (best[i][0], -i)) if before else -1
+        best.append((best[back][0] + 1 if before else 1, back))
+        if n not in ends or best[j][0] > best[ends[n]][0]:
+            ends[n] = j
     at = max(range(len(best)), key=lambda j: best[j][0])
     if best[at][0] == 1:
         return [k for k, _ in found if not lines[k][:1].isalpha()]
@@ -120,11 +128,14 @@ def _repeated(lines: list[str], pages: set[int], opening: int) -> dict[int, bool
     groups: dict[str, list[int]] = defaultdict(list)
     for k, key in keys.items():
         groups[key].append(k)
-    heads = [g for g, n in counts.items() if n >= 2]
+    heads: dict[str, list[str]] = defaultdict(list)
+    for h in (g for g, n in counts.items() if n >= 2):
+        heads["<" + h[:3]].append(h)
+        heads[">" + h[-3:]].append(h)
     for g in list(groups):  # one misread character or two joins a lone line to a repeated one
         if counts[g] == 1 and len(g) >= 6:
-            for h in heads:
-                if abs(len(h) - len(g)) <= 2 and (h[:3] == g[:3] or h[-3:] == g[-3:]) and SequenceMatcher(None, g, h, autojunk=False).ratio() >= 0.86:
+            for h in dict.fromkeys(heads.get("<" + g[:3], []) + heads.get(">" + g[-3:], [])):
+                if abs(len(h) - len(g)) <= 2 and SequenceMatcher(None, g, h, autojunk=False).ratio() >= 0.86:
                     groups[h] += groups.pop(g)
                     break
     solid = [k for k, line in enumerate(lines) if line]
@@ -153,6 +164,11 @@ def _opening(lines: list[str]) -> int:
     return next((k for k, line in enumerate(lines) if line), -1)
 
 
+def with_gaps(cues: set[str]) -> set[str]:
+    """The shapes, and the endings of Han titles with each character left open once."""
+    return cues | {c[:k] + "\0" + c[k + 1 :] for c in cues if c[0] == ">" and len(c) == 5 for k in range(1, 5)}
+
+
 def headers(lines: list[str], pages: set[int], cues: set[str]) -> set[int]:
     """Indices of running headers; the heading that opens the text is none."""
     opening = _opening(lines)
@@ -161,7 +177,7 @@ def headers(lines: list[str], pages: set[int], cues: set[str]) -> set[int]:
         for k, line in enumerate(lines):
             if k not in pages and k != opening and _title_like(line) and len(line) <= 80:
                 own = _cues(line)
-                if any(c in cues or c[0] == ">" and any(c[0] == d[0] and len(d) == 5 == len(c) and sum(x == y for x, y in zip(c, d)) >= 4 for d in cues if d[:1] == ">") for c in own):
+                if any(c in cues or c[0] == ">" and len(c) == 5 and any(c[:j] + "\0" + c[j + 1 :] in cues for j in range(1, 5)) for c in own):
                     found.add(k)
     found.discard(opening)
     return found
@@ -242,25 +258,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Knowledge:
-    """What the first pass learned; its size is bounded by the MAX_ settings."""
+    """What the first pass learned: counts of known words and trigrams, header shapes, misread letters with their rates."""
 
-    def __init__(self, words: dict[str, int], grams: np.ndarray, counts: np.ndarray, cues: dict[str, int]):
+    def __init__(self, words: dict[str, int], total: int, grams: np.ndarray, counts: np.ndarray, cues: set[str], swaps: list[tuple[str, str, float]]):
         order = np.argsort(grams)
         self.grams, self.counts = grams[order], counts[order]
         self.words = words
-        self.cues = self._header_shapes(cues)
+        self.cues = with_gaps(cues)
         self.misread = self._misread_signs()
-        self.swaps = self._misread_letters()
-        total = sum(words.values())
+        self.swaps: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        for wrong, right, rate in sorted(swaps):
+            self.swaps[wrong].append((right, rate))
+        self.swaps = dict(self.swaps)
         self.known = max(LEAST + 2, total // 1_000_000 * 3)
-
-    @staticmethod
-    def _header_shapes(cues: dict[str, int]) -> set[str]:
-        sure: Counter = Counter()
-        other: Counter = Counter()
-        for c, n in cues.items():
-            (sure if c[0] == "h" else other)[c[1:]] += n
-        return {c for c, n in sure.items() if n >= 4 and n >= 0.5 * (n + other[c]) and len(c) > 2}
+        #: from here on a word is an everyday one
+        self.common = max(20, total // 100_000)
 
     def _misread_signs(self) -> dict[int, list[int]]:
         """x -> characters y that x replaces: x is rare where y is nearly certain, in several contexts of each kind."""
@@ -279,7 +291,7 @@ class Knowledge:
             for f, k in zip(first[strong], size[strong]):
                 y, top = int(s[f]), n[f]
                 for j in range(f + 1, f + k):
-                    if n[j] <= 0.08 * top and n[j] < 2000 * LEAST:
+                    if n[j] <= 0.08 * top:
                         votes[(int(s[j]), y)][kind] += 1
         out: dict[int, list[int]] = defaultdict(list)
         for (wrong, right), (m, l, r) in votes.items():
@@ -287,30 +299,6 @@ class Knowledge:
                 out[wrong].append(right)
         return dict(out)
 
-    def _misread_letters(self) -> dict[str, list[str]]:
-        """Letter groups read for others, each supported by several vocabulary words."""
-        masked: dict[str, list[tuple[str, str]]] = defaultdict(list)
-        for w in self.words:
-            if 4 <= len(w) <= 24 and "-" not in w:
-                for k in range(len(w)):
-                    masked[w[:k] + "*" + w[k + 1 :]].append((w[k], w))
-                    if k + 2 <= len(w):
-                        masked[w[:k] + "*" + w[k + 2 :]].append((w[k : k + 2], w))
-        votes: dict[tuple[str, str], set[str]] = defaultdict(set)
-        for members in masked.values():
-            if len(members) > 1:
-                part, best = max(members, key=lambda m: self.words[m[1]])
-                top = self.words[best]
-                if top >= 20:
-                    for s, w in members:
-                        if s != part and len(s) + len(part) < 4 and self.words[w] * 15 <= top and s not in part and part not in s:
-                            votes[(s, part)].add(best)
-        out: dict[str, list[str]] = defaultdict(list)
-        for (s, t), support in votes.items():
-            if len(support) >= 5:
-                out[s].append(t)
-        return dict(out)
-
     def seen(self, grams: np.ndarray) -> np.ndarray:
         """Counts of packed trigrams, 0 for those not kept."""
         if not len(self.grams):
@@ -323,28 +311,62 @@ class Knowledge:
         own = self.words.get(word, 0) if among is None else 0
         for k in range(len(word)):
             for width in (1, 2):
-                for t in self.swaps.get(word[k : k + width], ()):
+                for t, rate in self.swaps.get(word[k : k + width], ()):
                     other = word[:k] + t + word[k + width :]
                     if among is not None:
                         if among.get(other, 0) >= 2:
                             return k
-                    elif self.words.get(other, 0) >= max(20, 15 * own):
+                    elif (n := self.words.get(other, 0)) >= 20 and (n >= OFTEN * own or own <= 2 * rate * (own + n)):
                         return k
         return -1
 
 
+def misread_letters(words: DataFrame) -> DataFrame:
+    """(wrong, right, rate): letter groups read for others, from the counts `words(word, n)`.
+
+    Words that differ in one such group are compared with the most frequent of them. A
+    group counts as misread if it makes five words or more OFTEN times rarer, or if it
+    makes words at least four times rarer and hardly ever leads to a frequent word.
+    """
+    usable = words.where(F.length("word").between(4, 24) & ~F.col("word").contains("-"))
+    cells = usable.select("word", "n", F.explode(F.expr("sequence(1, length(word))")).alias("k")).select("word", "n", "k", F.explode(F.array(F.lit(1), F.lit(2))).alias("w")).where("k + w - 1 <= length(word)")
+    cells = cells.selectExpr("word", "n", "substring(word, k, w) part", "concat(substring(word, 1, k - 1), '*', substring(word, k + w)) masked")
+    top = cells.groupBy("masked").agg(F.max(F.struct("n", "word", "part")).alias("top"), F.count("*").alias("forms")).where("forms > 1 and top.n >= 20").select("masked", F.col("top.n").alias("often"), F.col("top.word").alias("best"), F.col("top.part").alias("right"))
+    pairs = cells.withColumnRenamed("part", "wrong").join(top, "masked").where("wrong <> right and length(wrong) + length(right) < 4 and not contains(right, wrong) and not contains(wrong, right)")
+    rare = F.col("n") * 4 <= F.col("often")
+    found = pairs.groupBy("wrong", "right").agg(
+        F.countDistinct(F.when(F.col("n") * OFTEN <= F.col("often"), F.col("best"))).alias("strong"),
+        F.countDistinct(F.when(rare, F.col("best"))).alias("support"),
+        F.countDistinct(F.when(~rare, F.col("best"))).alias("contrary"),
+        F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("seldom"),
+        F.sum(F.when(rare, F.col("often")).otherwise(0)).alias("usual"),
+    )
+    kept = found.where("strong >= 5 or support >= 5 and support >= 4 * contrary")
+    return kept.select("wrong", "right", (F.col("seldom") / (F.col("seldom") + F.col("usual"))).alias("rate"))
+
+
+def header_shapes(cues: DataFrame) -> DataFrame:
+    """Shapes of `cues(word, n)` (marked h or o) that mostly belong to sure headers."""
+    mark, n = F.substring("word", 1, 1), F.col("n")
+    shapes = cues.groupBy(F.expr("substring(word, 2)").alias("shape")).agg(F.sum(F.when(mark == "h", n).otherwise(0)).alias("h"), F.sum("n").alias("n"))
+    return shapes.where("h >= 4 and h >= 0.5 * n and length(shape) > 2").select("shape")
+
+
 def learn(texts: DataFrame) -> Knowledge:
-    """Counts over all rows of `texts(text)`, added in Spark, then the bounded tops collected."""
-    counted = texts.select("text").mapInArrow(_count, "kind string, word string, gram long, n long").groupBy("kind", "word", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    """Counts over all rows of `texts(text)`, added in Spark; collected is what counts as known."""
+    counted = texts.select("text").mapInArrow(_count, "kind string, word string, gram long, n long").groupBy("kind", "word", "gram").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
-        top = lambda kind, k: counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "word", "gram").limit(k)
-        words = {r.word: r.n for r in top("w", MAX_WORDS).select("word", "n").collect()}
-        cues = {r.word: r.n for r in top("c", MAX_CUES).select("word", "n").collect()}
-        grams = top("t", MAX_TRIGRAMS).select("gram", "n").toArrow()
+        totals = {r.kind: r.n for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        least = lambda kind, share: max(LEAST, int(totals.get(kind, 0) * share))
+        words = counted.where((F.col("kind") == "w") & (F.col("n") >= least("w", WORD_SHARE))).select("word", "n")
+        swaps = [tuple(r) for r in misread_letters(words).collect()]
+        cues = {r.shape for r in header_shapes(counted.where((F.col("kind") == "c") & (F.col("n") >= LEAST))).collect()}
+        grams = counted.where((F.col("kind") == "t") & (F.col("n") >= least("t", TRIGRAM_SHARE))).select("gram", "n").toArrow()
+        known = {r.word: r.n for r in words.collect()}
     finally:
         counted.unpersist()
-    return Knowledge(words, grams.column(0).to_numpy(), grams.column(1).to_numpy(), cues)
+    return Knowledge(known, sum(known.values()), grams.column(0).to_numpy(), grams.column(1).to_numpy(), cues, swaps)
 
 
 # ---------------------------------------------------------------- second pass
@@ -374,8 +396,6 @@ def _misread_english(lines: list[str], skip: set[int], hyphens: dict[int, tuple[
             low = w.lower()
             if low != w and not w.isupper():
                 names[low] += 1
-            if known.words.get(low, 0) >= 400 * LEAST:
-                continue
             at = cache.get(low)
             if at is None:
                 at = -1 if len(low) < 3 else known.reading(low)
@@ -385,7 +405,7 @@ def _misread_english(lines: list[str], skip: set[int], hyphens: dict[int, tuple[
             elif low != w:
                 pending.append((k, low))
     for k, low in pending:
-        if names[low] == 1 and len(low) >= 5 and known.words.get(low, 0) < 20 and known.reading(low, names) >= 0:
+        if names[low] == 1 and len(low) >= 5 and known.words.get(low, 0) < known.common and known.reading(low, names) >= 0:
             found.add(k)
     return found
 
@@ -414,7 +434,7 @@ def _cut_words(lines: list[str], skip: set[int], known: Knowledge) -> dict[int,
             out[k] = (part, nxt, rest)
         elif not compound:
             both = min(known.words.get(part.lower(), 0), known.words.get(rest.lower(), 0))
-            if both < 20 * LEAST or part[:1].isupper():
+            if both < 3 * known.common or part[:1].isupper():
                 out[k] = (part, nxt, rest)
     return out
 

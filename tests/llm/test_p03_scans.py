@@ -3,6 +3,12 @@ from quern.llm import p03_scans as p
 SCHEMA = "text_id long, text string, line_no string, noise int"
 
 
+def test_long_chains_and_lines():
+    lines = [str(k) if k % 2 else "some text" for k in range(1, 400)] + ["7"] * 70 + ["401", "   Page" + " " * 80 + "402 "]
+    kept = p.page_numbers([s.strip() for s in lines])
+    assert kept == [k for k in range(399) if lines[k] != "some text"] + [469, 470]
+
+
 def english(k, cut="-", wrong=False):
     word = "obsession" if not wrong else "obsessi0n"
     return f"Chapter {k} On winter\nThe nurse will record the change and explain the reason for the obser{cut}\nvation today. Every reader should note the source and the record\n{12 + k}\nHandbook of Winter\nof the observation, then keep a half-\nlife table. The reason is the observation record and the {word}.\n\n{13 + k}\nHandbook of Winter\nThe reason for the observation is the change.\n"
