@@ -6,12 +6,15 @@ members of a large group, whose shared runs are common, from each other.
 DartMinHash throws hashed darts into every run's region and keeps the earliest dart of
 each coordinate; questions that share the coordinates of a band meet in a bucket.
 There, one bit of every coordinate gives a quick estimate; what passes is checked exactly
-against the Jaccard similarity of the plain sets. Verified pairs form components, and all
-pairs inside a component are checked too, so that a pair missed by every band is found
-through a common neighbour.
+against the Jaccard similarity of the plain sets. Verified pairs form components. Inside a component the remaining
+alike pairs are found exactly: small components pair by pair, larger ones by a join on the
+prefix of each set's runs, rarest first, which two alike sets can't but share. So a pair
+missed by every band is found through a common neighbour, and a long chain of edits costs
+no more than its near pairs.
 
 Exact copies (after normalisation) are one node throughout and are only multiplied at the
-end, where all pairs are asked for. Questions that are null, blank or shorter than
+end, where all pairs are asked for. A node is named by a 64-bit hash; a second hash shows
+where two texts got the same name, and these are named by the second one. Questions that are null, blank or shorter than
 `MIN_CHARS` after normalisation are out. A record that comes again counts once.
 """
 
@@ -37,9 +40,9 @@ COORDINATES, BITS = BANDS * ROWS, 63
 TABLE = 1 << 20
 #: Equal bits (of BITS, one each of as many coordinates) from which a pair is checked exactly. Buckets up to CROWDED are
 #: compared in one task; larger ones are spread over SALTS.
-AGREE, CROWDED = 42, 1_024
-#: Components up to this size are paired in one task; larger ones are spread over SALTS.
-LARGE, SALTS = 1_000, 32
+AGREE, CROWDED = 38, 1_024
+#: Components up to this size are paired directly, larger ones joined on prefixes; crowded buckets are spread over SALTS.
+LARGE, SALTS = 24, 32
 
 
 def normal(question: str | None) -> str | None:
@@ -50,9 +53,15 @@ def normal(question: str | None) -> str | None:
     return out if len(out) >= MIN_CHARS else None
 
 
-def node(text: str) -> int:
-    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def names(text: str) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a text."""
+    h = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
+    return tuple(v - (1 << 64) if v >> 63 else v for v in (h & 0xFFFFFFFFFFFFFFFF, h >> 64))
+
+
+def node(text: str, clashes: frozenset[int] = frozenset()) -> int:
+    a, b = names(text)
+    return b if a in clashes else a
 
 
 def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,21 +157,12 @@ def _rows(key: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> pa.RecordBatc
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    w, seen = np.ones(TABLE), set()
+    w = np.ones(TABLE)
     for batch in batches:
-        fresh: dict[int, str] = {}
-        for q in batch.column(0).to_pylist():
-            t = normal(q)
-            if t is not None and (h := node(t)) not in seen:
-                seen.add(h)
-                fresh[h] = t
-        if len(seen) > 2_000_000:
-            seen.clear()
-        for a in range(0, len(fresh), 4096):
-            part = list(fresh.items())[a : a + 4096]
-            keys, bits = bands_and_bits(dart_sketches([t for _, t in part], w))
-            nodes = np.repeat(np.array([h for h, _ in part], dtype=np.int64), BANDS)
-            yield _rows(keys.ravel(), nodes, np.repeat(bits, BANDS))
+        nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for a in range(0, len(texts), 4096):
+            keys, bits = bands_and_bits(dart_sketches(texts[a : a + 4096], w))
+            yield _rows(keys.ravel(), np.repeat(nodes[a : a + 4096], BANDS), np.repeat(bits, BANDS))
 
 
 def _met(*columns: np.ndarray | None) -> pa.RecordBatch:
@@ -207,25 +207,30 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(*held)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept: dict[int, str] = {}
-        for q in batch.column(0).to_pylist():
-            t = normal(q)
-            if t is not None:
-                kept[node(t)] = t
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], ["node", "text"])
+def _texts(clashes: frozenset[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: dict[int, str] = {}
+            for key, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = normal(q) if key is not None else None
+                if t is not None:
+                    kept[node(t, clashes)] = t
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], ["node", "text"])
+
+    return run
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, nodes = [], []
+        ids, nodes, seconds = [], [], []
         for key, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = normal(q)
-            if t is not None and key is not None:
+            t = normal(q) if key is not None else None
+            if t is not None:
+                a, b = names(t)
                 ids.append(key)
-                nodes.append(node(t))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64())], ["id", "node"])
+                nodes.append(a)
+                seconds.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64())], ["id", "node", "second"])
 
 
 def run_set(t: str) -> set[str]:
@@ -252,10 +257,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], ["u", "v"])
 
 
-def _alike(pairs: DataFrame, records: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose texts are alike, checked exactly."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = records.select("question").mapInArrow(_texts, "node long, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     full = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return full.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
 
@@ -268,27 +271,63 @@ def crowded_pairs(crowd: DataFrame) -> DataFrame:
     return a.join(b, ["key", "salt"]).where(F.col("u") < F.col("v")).where(near).select("u", "v")
 
 
-def similar_nodes(records: DataFrame) -> DataFrame:
-    """Verified pairs (u, v), u < v, of nodes of `records(question)` that met in a bucket."""
-    rows = records.select("question").mapInArrow(_sketch, "key long, node long, bits long")
+def similar_nodes(texts: DataFrame) -> DataFrame:
+    """Verified pairs (u, v), u < v, of the nodes of `texts(node, text)` that met in a bucket."""
+    rows = texts.select("node", "text").mapInArrow(_sketch, "key long, node long, bits long")
     met = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long, key long, bits long").distinct())
     pairs, crowd = met.where("v is not null").select("u", "v"), met.where("v is null")
     if not crowd.isEmpty():
         pairs = cut_lineage(pairs.union(crowded_pairs(crowd)).distinct())
-    return cut_lineage(_alike(pairs, records))
+    return cut_lineage(_alike(pairs, texts))
+
+
+def members_and_texts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of the records `records(id, question)` that take part, and (node, text), each text once."""
+    records = records.select(F.col("id").cast("long"), "question")
+    own = cut_lineage(records.mapInArrow(_members, "id long, node long, second long").distinct())
+    twice = own.groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    clashes = frozenset(r.node for r in twice.select("node").collect())  # n * n / 2 ** 65 are expected among n texts
+    named = F.when(F.col("node").isin(list(clashes)), F.col("second")).otherwise(F.col("node")) if clashes else F.col("node")
+    texts = cut_lineage(records.mapInArrow(_texts(clashes), "node long, text string").dropDuplicates(["node"]))
+    return own.select("id", named.alias("node")), texts
 
 
-def members(records: DataFrame) -> DataFrame:
-    """(id, node) of the records that take part."""
-    return records.select(F.col("id").cast("long"), "question").mapInArrow(_members, "id long, node long").distinct()
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of nodes of one component of `sets(component, node, text)` that can be alike; no alike pair is missing.
+
+    Runs are ordered by their number in the component. Of two sets with at least SIMILAR of
+    their union in common, the prefixes of n - ceil(SIMILAR * n) + 1 runs share one.
+    """
+    runs = F.expr(f"array_distinct(transform(sequence(1, length(text) - {RUN - 1}), i -> substring(text, i, {RUN})))")
+    each = sets.select("component", "node", F.explode(runs).alias("run"))
+    seen = each.groupBy("component", "run").agg(F.count("*").alias("often"))
+    ordered = each.join(seen, ["component", "run"]).groupBy("component", "node").agg(F.sort_array(F.collect_list(F.struct("often", "run"))).alias("runs"))
+    n = F.size("runs")
+    prefix = F.slice("runs", F.lit(1), (n - F.ceil(n * SIMILAR - 1e-9) + 1).cast("int"))
+    lead = ordered.select("component", "node", n.alias("n"), F.explode(F.transform(prefix, lambda r: r["run"])).alias("run"))
+    a = lead.select("component", "run", F.col("node").alias("u"), F.col("n").alias("x"))
+    b = lead.select("component", "run", F.col("node").alias("v"), F.col("n").alias("y"))
+    near = a.join(b, ["component", "run"]).where((F.col("u") < F.col("v")) & (F.least("x", "y") >= F.greatest("x", "y") * SIMILAR - 1e-9))
+    return near.select("u", "v").distinct()
+
+
+def _within(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of nodes of one component, u < v, that can be alike."""
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 2")
+    sized = parts.join(sizes, "component")
+    few, many = sized.where(F.col("n") <= LARGE), sized.where(F.col("n") > LARGE)
+    small = few.select("component", F.col("node").alias("u")).join(few.select("component", F.col("node").alias("v")), "component").where("u < v").select("u", "v")
+    if many.isEmpty():
+        return small
+    return small.union(prefix_pairs(many.select("component", "node").join(texts, "node")))
 
 
-def _alike_nodes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (u, v) of alike nodes that met in a bucket, the other alike pairs inside components, and (node, component)."""
-    edges = similar_nodes(records)
+def _alike_nodes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs (u, v) of alike nodes, those that met in a bucket and the others inside components, and (node, component)."""
+    edges = similar_nodes(texts)
     parts = cut_lineage(connected_components(edges))
-    more = cut_lineage(_alike(cut_lineage(_within(parts).join(edges, ["u", "v"], "left_anti")), records))
-    return edges, more, parts
+    more = cut_lineage(_alike(_within(parts, texts).join(edges, ["u", "v"], "left_anti"), texts))
+    return edges.union(more), parts
 
 
 def groups(records: DataFrame) -> DataFrame:
@@ -296,35 +335,24 @@ def groups(records: DataFrame) -> DataFrame:
 
     A group is named by its least record id; a record without partner is its own group.
     """
-    edges, more, parts = _alike_nodes(records)
-    found = edges.union(more)
+    own, texts = members_and_texts(records)
+    found, parts = _alike_nodes(texts)
     links = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    own = members(records).join(parts, "node", "left").join(links, "node", "left").select("id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")).persist()
-    name = own.groupBy("component").agg(F.min("id").alias("group_id"))
-    return own.join(name, "component").select("id", "group_id", "links").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
-
-
-def _within(parts: DataFrame) -> DataFrame:
-    """Pairs of nodes of one component, u < v; large components are spread over salts."""
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 2")
-    sized = parts.join(sizes, "component")
-    a = sized.select("component", "n", F.col("node").alias("u"))
-    b = sized.select("component", "n", F.col("node").alias("v"))
-    small = a.where(F.col("n") <= LARGE).drop("n").join(b.where(F.col("n") <= LARGE).drop("n"), "component")
-    salted = a.where(F.col("n") > LARGE).withColumn("salt", F.pmod("u", F.lit(SALTS)).cast("int"))
-    copied = b.where(F.col("n") > LARGE).withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    large = salted.drop("n").join(copied.drop("n"), ["component", "salt"])
-    return small.select("u", "v").union(large.select("u", "v")).where("u < v")
+    # by node first: a text that a third of all records share is one row there
+    nodes = own.groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").join(links, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    nodes = cut_lineage(nodes)
+    name = nodes.groupBy("component").agg(F.min("least").alias("group_id"))
+    named = nodes.join(name, "component").select("node", "group_id", "links")
+    return own.join(named, "node").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
 
 
 def similar_pairs(records: DataFrame) -> DataFrame:
     """All pairs (id_a, id_b) of different records that are alike, exact copies included."""
-    edges, more, _ = _alike_nodes(records)
-    own = members(records).persist()
+    own, texts = members_and_texts(records)
+    found, _ = _alike_nodes(texts)
     ids = own.groupBy("node").agg(F.count("*").alias("n"))
     copies = own.join(ids.where("n > 1").select("node"), "node", "left_semi")
     same = copies.select("node", F.col("id").alias("x")).join(copies.select("node", F.col("id").alias("y")), "node").where("x < y").select("x", "y")
-    found = edges.union(more)
     apart = found.join(own.select(F.col("node").alias("u"), F.col("id").alias("x")), "u").join(own.select(F.col("node").alias("v"), F.col("id").alias("y")), "v").where("x <> y").select("x", "y")
     return same.union(apart).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -106,14 +106,17 @@ def test_a_third_of_the_rows_are_edited_copies(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "id long, question string")
     want = brute(rows)
-    met = {(r.u, r.v) for r in p.similar_nodes(df).collect()}
+    own, nodes = p.members_and_texts(df)
+    id_of = {r.node: r.id for r in own.collect()}
+    met = {tuple(sorted((id_of[r.u], id_of[r.v]))) for r in p.similar_nodes(nodes).collect()}
+    assert met <= want
     assert len(met) > 0.75 * len(want)
     assert {tuple(r) for r in p.similar_pairs(df).collect()} == want
 
 
 def test_crowded_buckets_compare_all_members(spark, monkeypatch):
     rnd = np.random.default_rng(4)
-    base, low = np.int64(0x1234567812345678), (1 << rnd.integers(0, 60, (40, 12))).astype(np.int64)
+    base, low = np.int64(0x1234567812345678), (1 << rnd.integers(0, 60, (40, 17))).astype(np.int64)
     bits = base ^ np.bitwise_xor.reduce(low, axis=1)
     nodes = np.arange(40, dtype=np.int64)
     want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (int(bits[a]) ^ int(bits[b])).bit_count() <= p.BITS - p.AGREE}
@@ -131,3 +134,27 @@ def test_links_count_every_alike_text_of_a_large_group(spark):
     want = brute(rows)
     got = {r.id: r.links for r in p.groups(spark.createDataFrame(rows, "id long, question string")).collect()}
     assert got == {i: sum(i in pair for pair in want) for i, _ in rows}
+
+
+def test_long_chain_is_extended_exactly(spark):
+    # a window that moves over a long text: each record is alike to its near neighbours only
+    rnd = random.Random(7)
+    line = "".join(rnd.choice(LETTERS) for _ in range(400))
+    rows = [(k, line[5 * k : 5 * k + 60]) for k in range(66)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "id long, question string")
+    assert {tuple(r) for r in p.similar_pairs(df).collect()} == want
+    sets = spark.createDataFrame([(1, k, p.normal(t)) for k, t in rows], "component long, node long, text string")
+    near = {tuple(r) for r in p.prefix_pairs(sets).collect()}
+    assert want <= near and len(near) < 66 * 65 / 4
+
+
+def test_texts_with_equal_names_stay_apart(spark, monkeypatch):
+    names = p.names
+    monkeypatch.setattr(p, "names", lambda t: (7 if t.startswith("clash") else names(t)[0], names(t)[1]))
+    texts = p._texts(frozenset([7]))
+    a, b = "clash" + "a" * 30, "clash" + "b" * 30
+    out = pa.Table.from_batches(texts(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([a, b, a])], ["id", "q"])]))).to_pylist()
+    assert {r["node"] for r in out} == {names(a)[1], names(b)[1]} and {r["text"] for r in out} == {a, b}
+    own = pa.Table.from_batches(p._members(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a, b])], ["id", "q"])]))).to_pylist()
+    assert [r["node"] for r in own] == [7, 7] and own[0]["second"] != own[1]["second"]
