@@ -36,11 +36,12 @@ from quern.sources.tables import table
 
 RUN, MIN_CHARS, SIMILAR = 3, 20, 0.6
 BANDS, ROWS = 28, 4
-COORDINATES, BITS = BANDS * ROWS, 63
+COORDINATES = BITS = BANDS * ROWS
 TABLE = 1 << 20
-#: Equal bits (of BITS, one each of as many coordinates) from which a pair is checked exactly. Buckets up to CROWDED are
+#: Equal bits (of BITS, one each of as many coordinates) from which a pair is checked exactly: a pair at SIMILAR has 90 and
+#: misses 73 once in 20,000 buckets. Buckets up to CROWDED are
 #: compared in one task; larger ones are spread over SALTS.
-AGREE, CROWDED = 38, 1_024
+AGREE, CROWDED = 73, 1_024
 #: Components up to this size are paired directly, larger ones joined on prefixes; crowded buckets are spread over SALTS.
 LARGE, SALTS = 24, 32
 
@@ -122,18 +123,18 @@ def dart_sketches(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def bands_and_bits(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts, BANDS) and one bit of each of the first BITS coordinates packed into an int64."""
+    """Band keys (texts, BANDS) and one bit of each coordinate packed into two int64 (texts, 2)."""
     key = np.full((len(sketch), BANDS), 7, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sketch[:, r::ROWS])
-    chosen = np.ascontiguousarray(sketch[:, :BITS])
-    parity = mix64(chosen.ravel()).reshape(chosen.shape) & np.uint64(1)
-    bits = (parity << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    parity = mix64(sketch.ravel()).reshape(sketch.shape) & np.uint64(1)
+    half = BITS // 2
+    bits = np.stack([(part << np.arange(half, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for part in (parity[:, :half], parity[:, half:])], axis=1)
     return key.view(np.int64), bits.view(np.int64)
 
 
 def _equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return BITS - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+    return BITS - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64).sum(axis=-1)
 
 
 def link_bucket(nodes: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
@@ -153,7 +154,7 @@ def _runs_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(key: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.int64())], ["key", "node", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in (key, nodes, bits[:, 0], bits[:, 1])], ["key", "node", "bits", "more"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +163,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         for a in range(0, len(texts), 4096):
             keys, bits = bands_and_bits(dart_sketches(texts[a : a + 4096], w))
-            yield _rows(keys.ravel(), np.repeat(nodes[a : a + 4096], BANDS), np.repeat(bits, BANDS))
+            yield _rows(keys.ravel(), np.repeat(nodes[a : a + 4096], BANDS), np.repeat(bits, BANDS, axis=0))
 
 
 def _met(*columns: np.ndarray | None) -> pa.RecordBatch:
     n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["u", "v", "key", "bits"])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["u", "v", "key", "bits", "more"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +176,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The members of a crowded bucket are handed on instead, as u with key and bits and without v.
     """
-    held = [np.zeros(0, dtype=np.int64)] * 3
+    held = [np.zeros(0, dtype=np.int64)] * 4
 
-    def emit(key, nodes, bits):
+    def emit(key, nodes, *words):
+        bits = np.stack(words, axis=1)
         start, size = _runs_of_equal(key)
         found, crowd = [], []
         two = np.flatnonzero(size == 2)  # the common case at once
@@ -187,13 +189,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, n in zip(start[size > 2], size[size > 2]):
             own, first = np.unique(nodes[s : s + n], return_index=True)
             if len(own) > CROWDED:
-                crowd.append(np.stack([own, np.full(len(own), key[s]), bits[s : s + n][first]]))
+                crowd.append((own, np.full(len(own), key[s]), bits[s : s + n][first]))
             else:
                 found += link_bucket(own, bits[s : s + n][first])
         both = np.concatenate(found, axis=1)
-        yield _met(both.min(axis=0), both.max(axis=0), None, None)
+        yield _met(both.min(axis=0), both.max(axis=0), None, None, None)
         for own, at, b in crowd:
-            yield _met(own, None, at, b)
+            yield _met(own, None, at, np.ascontiguousarray(b[:, 0]), np.ascontiguousarray(b[:, 1]))
 
     for batch in batches:
         cols = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
@@ -264,17 +266,17 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def crowded_pairs(crowd: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, that agree in enough bits, of all members (u, key, bits) of crowded buckets; a bucket is spread over salts."""
-    a = crowd.select("key", "u", F.col("bits").alias("x"), F.pmod("u", F.lit(SALTS)).cast("int").alias("salt"))
-    b = crowd.select("key", F.col("u").alias("v"), F.col("bits").alias("y"), F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS - AGREE
+    """Pairs (u, v), u < v, that agree in enough bits, of all members (u, key, bits, more) of crowded buckets; a bucket is spread over salts."""
+    a = crowd.select("key", "u", F.col("bits").alias("x"), F.col("more").alias("p"), F.pmod("u", F.lit(SALTS)).cast("int").alias("salt"))
+    b = crowd.select("key", F.col("u").alias("v"), F.col("bits").alias("y"), F.col("more").alias("q"), F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) + F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS - AGREE
     return a.join(b, ["key", "salt"]).where(F.col("u") < F.col("v")).where(near).select("u", "v")
 
 
 def similar_nodes(texts: DataFrame) -> DataFrame:
     """Verified pairs (u, v), u < v, of the nodes of `texts(node, text)` that met in a bucket."""
-    rows = texts.select("node", "text").mapInArrow(_sketch, "key long, node long, bits long")
-    met = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long, key long, bits long").distinct())
+    rows = texts.select("node", "text").mapInArrow(_sketch, "key long, node long, bits long, more long")
+    met = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long, key long, bits long, more long").distinct())
     pairs, crowd = met.where("v is not null").select("u", "v"), met.where("v is null")
     if not crowd.isEmpty():
         pairs = cut_lineage(pairs.union(crowded_pairs(crowd)).distinct())

@@ -60,6 +60,7 @@ def test_crowded_buckets_lose_no_member():
     rnd = np.random.default_rng(2)
     base = rnd.integers(0, 2**63, 3)
     bits = np.concatenate([b ^ (1 << rnd.integers(0, 60, 400)) for b in base]).astype(np.int64)
+    bits = np.stack([bits, bits], axis=1)
     nodes = np.arange(len(bits))
     pairs = np.concatenate(p.link_bucket(nodes, bits), axis=1)
     root = list(range(len(bits)))
@@ -116,15 +117,15 @@ def test_a_third_of_the_rows_are_edited_copies(spark):
 
 def test_crowded_buckets_compare_all_members(spark, monkeypatch):
     rnd = np.random.default_rng(4)
-    base, low = np.int64(0x1234567812345678), (1 << rnd.integers(0, 60, (40, 17))).astype(np.int64)
-    bits = base ^ np.bitwise_xor.reduce(low, axis=1)
+    bits = np.bitwise_xor.reduce((1 << rnd.integers(0, 56, (40, 2, 14))).astype(np.int64), axis=2)
     nodes = np.arange(40, dtype=np.int64)
-    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (int(bits[a]) ^ int(bits[b])).bit_count() <= p.BITS - p.AGREE}
+    differ = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(bits[a], bits[b]))
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if differ(a, b) <= p.BITS - p.AGREE}
     met = lambda: pa.Table.from_batches(p._pairs(iter([p._rows(np.full(40, 7), nodes, bits)])))
     assert {(r["u"], r["v"]) for r in met().to_pylist()} == want and 0 < len(want) < 780
     monkeypatch.setattr(p, "CROWDED", 8)
-    crowd = [(r["u"], r["key"], r["bits"]) for r in met().to_pylist()]
-    assert {tuple(r) for r in p.crowded_pairs(spark.createDataFrame(crowd, "u long, key long, bits long")).collect()} == want
+    crowd = [(r["u"], r["key"], r["bits"], r["more"]) for r in met().to_pylist()]
+    assert {tuple(r) for r in p.crowded_pairs(spark.createDataFrame(crowd, "u long, key long, bits long, more long")).collect()} == want
 
 
 def test_links_count_every_alike_text_of_a_large_group(spark):
