@@ -39,9 +39,9 @@ BANDS, ROWS = 28, 4
 COORDINATES = BITS = BANDS * ROWS
 TABLE = 1 << 20
 #: Equal bits (of BITS, one each of as many coordinates) from which a pair is checked exactly: a pair at SIMILAR has 90 and
-#: misses 73 once in 20,000 buckets. Buckets up to CROWDED are
+#: stays under 76 once in 2,000 cases (its group may find it then). Buckets up to CROWDED are
 #: compared in one task; larger ones are spread over SALTS.
-AGREE, CROWDED = 73, 1_024
+AGREE, CROWDED = 76, 1_024
 #: Components up to this size are paired directly, larger ones joined on prefixes; crowded buckets are spread over SALTS.
 LARGE, SALTS = 24, 32
 
