@@ -5,12 +5,14 @@ words dropped, digits and signs that stand for letters read as letters, stretche
 shortened). A sentence is known by its subsequences, three Han characters within five or
 five other letters within six, each weighted by DECAY to its gaps: the gap-bounded
 subsequence string kernel.
-Landmarks are chosen among sentences of reviewed documents; the kernel of a sentence
-against a landmark is scaled by the landmark's own, which says how much of the landmark
-the sentence holds, however long it is. The Nyström map of these values feeds a linear
-support vector machine. Reviewed documents are labelled as a whole, so the sentences of
-an abusive one are told apart by what recurs in abusive documents and never in others,
-and then by the machine itself, over a few rounds.
+Subsequences common in harmless sentences weigh nothing. Landmarks are chosen among
+passages of reviewed documents and scaled to unit length; the Nyström map (the kernel of a
+sentence against them, whitened by the kernel among them) feeds a linear support vector
+machine. Reviewed documents are labelled as a whole, so the sentences of an abusive one
+are told apart by their evidence (log odds of runs of letters, counted without the
+document itself) against that of harmless sentences, and then by the machine itself, over
+a few rounds. The threshold's place between harmless and abusive sentences is chosen on
+one half of the reviewed documents with a machine trained on the other.
 
 A document's score is its highest sentence score; above 0 it is flagged. Null and empty
 texts score `-inf`-like EMPTY and are never flagged. Without reviewed documents of both
@@ -36,8 +38,10 @@ DECAY, EMPTY = 0.7, -10.0
 HAN_OFFSETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 OTHER_OFFSETS = [(1, 2, 3, 4), (2, 3, 4, 5), (1, 3, 4, 5), (1, 2, 4, 5), (1, 2, 3, 5)]
 TABLE_BITS = 20
-#: Log-likelihood ratio from which a run of letters speaks for abuse, and the least abusive documents with it.
-HOT_RATIO, HOT_DOCS = 14.0, 2
+#: Log odds from which a run of letters counts as evidence of abuse, and the share of harmless sentences whose evidence a witness must exceed.
+EVIDENT, QUIET = 1.5, 0.998
+#: Places between the highest harmless and the usual abusive sentence that are compared for the threshold, and what a false alarm costs beside a miss.
+OFFSETS, ALARM_COST = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5), 5.0
 #: Reviewed documents used for training (lowest hashes first), landmarks, and sentences kept of harmless ones.
 MAX_REVIEWED, LANDMARKS, MAX_HARMLESS = 4_000, 220, 6_000
 # Signs and digits read as letters, beside Latin letters only.
@@ -46,7 +50,7 @@ _DISGUISED = re.compile(r"[a-z0-9$@!|€]*(?:[a-z][013457$@|€]|[013457$@|€][
 _QUANTITY = re.compile(r"^\d+[a-z]{1,3}$|^[a-z]{1,3}\d+$")
 _ENDS = re.compile(r"[。！？…\n\r]+|[!?]+(?![\w$@])|(?<=[a-z\"')])\.(?=\s|$)|(?<=\d)\.(?=\s)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_STRETCHED = re.compile(r"([a-z])\1{2,}")
+_STRETCHED = re.compile(r"(.)\1{2,}")
 _DOUBLED_VOWEL = re.compile(r"aa|ii|uu")
 
 
@@ -163,7 +167,7 @@ class Kernel:
         r, c, d = np.concatenate(rows), np.concatenate(cols), np.concatenate(data)
         chosen, index = np.unique(r, return_inverse=True)
         out = np.bincount(index * m + c, weights=d, minlength=len(chosen) * m).reshape(len(chosen), m)
-        return chosen, np.minimum(out / self.own, 2.0)
+        return chosen, out / np.sqrt(self.own)
 
 
 class Machine:
@@ -172,6 +176,7 @@ class Machine:
     def __init__(self, kernel: Kernel, whitening: np.ndarray, weights: np.ndarray, bias: float):
         self.kernel, self.whitening, self.weights, self.bias = kernel, whitening, weights, bias
         self.line = whitening @ weights
+        self.span = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -238,45 +243,91 @@ def fill_runs(batch: pa.RecordBatch, counts: np.ndarray) -> None:
     counts[-1] += len(texts)
 
 
-def hot_runs(bad: list[list[str]], counts: np.ndarray) -> np.ndarray:
-    """Slots far more frequent in abusive documents than in the corpus."""
-    n, total = len(bad), max(float(counts[-1]), len(bad) + 1.0)
-    held = np.zeros(len(counts) - 1)
-    for doc in bad:
-        if doc:
-            held[np.unique(_slots(doc)[1])] += 1
-    slots = np.flatnonzero(held >= HOT_DOCS)
-    a = held[slots]
-    b = np.clip(counts[slots] - a, 0.5, None)
-    rest = total - n
-    p, q, r = a / n, np.minimum(b / rest, 0.999), (a + b) / total
-    r = np.minimum(r, 0.999)
-    g = 2 * (a * np.log(p / r) + (n - a) * np.log(np.maximum((1 - p) / (1 - r), 1e-12)) + b * np.log(q / r) + (rest - b) * np.log(np.maximum((1 - q) / (1 - r), 1e-12)))
-    return slots[(g >= HOT_RATIO) & (p > 25 * q)]
-
-
-def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machine | None:
-    """The machine for reviewed texts (text, abusive); `counts` are those of `fill_runs` over all documents."""
+class Evidence:
+    """Log odds of runs of letters: share of the abusive reviewed documents against the corpus and the harmless reviewed ones.
+
+    The corpus holds abuse as well, so its share only bounds the odds from below. A document
+    never speaks for itself: its own runs count without it.
+    """
+
+    def __init__(self, bad: list[list[str]], good: list[list[str]], counts: np.ndarray):
+        self.bad, self.good = self._held(bad, len(counts) - 1), self._held(good, len(counts) - 1)
+        self.n, self.m, self.counts, self.total = len(bad), len(good), counts[:-1], max(float(counts[-1]), len(bad) + 1.0)
+
+    @staticmethod
+    def _held(docs: list[list[str]], length: int) -> np.ndarray:
+        out = np.zeros(length)
+        for doc in docs:
+            if doc:
+                out[np.unique(_slots(doc)[1])] += 1
+        return out
+
+    def odds(self, slots: np.ndarray, own_bad: int = 0, own_good: int = 0) -> np.ndarray:
+        a, h = self.bad[slots] - own_bad, self.good[slots] - own_good
+        corpus = np.maximum(self.counts[slots] - self.bad[slots] - self.good[slots], 0.0) + 0.5
+        rate = np.maximum(corpus / self.total, h / max(1, self.m))
+        return np.where(a > 0, np.clip(np.log(np.maximum(a, 0.01) / max(1, self.n) / np.maximum(rate, 1e-9)), 0.0, 4.0), 0.0)
+
+    def sums(self, doc: list[str], own_bad: int = 0, own_good: int = 0) -> np.ndarray:
+        """Evidence of each sentence of a document, by the root of its length."""
+        owner, slots = _slots(doc)
+        w = self.odds(slots, own_bad, own_good)
+        size = np.maximum(np.bincount(owner, minlength=len(doc)), 1)
+        return np.bincount(owner, weights=np.where(w >= EVIDENT, w, 0.0), minlength=len(doc)) / np.sqrt(size)
+
+
+def _top(machine: Machine | None, texts: list[str | None]) -> np.ndarray:
+    parts = [sentences(t) for t in texts]
+    scores = machine.scores([s for p in parts for s in p]) if machine else np.zeros(sum(map(len, parts)))
+    stop = np.cumsum([len(p) for p in parts])
+    return np.array([scores[e - len(p) : e].max() if p else EMPTY for p, e in zip(parts, stop)])
+
+
+def offset_by_validation(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> float:
+    """The place of the threshold that does best on the second half of the reviewed documents, for a machine trained on the first."""
+    halves: tuple[list, list] = ([], [])
+    for k, (t, a) in enumerate(sorted(reviewed, key=lambda r: (r[1], len(r[0] or ""), r[0] or ""))):
+        halves[k % 2].append((t, a))
+    machine = train(halves[0], counts, OFFSETS[0])
+    if machine is None or machine.span <= 0:
+        return OFFSETS[len(OFFSETS) // 2]
+    top = _top(machine, [t for t, _ in halves[1]])
+    is_bad = np.array([a for _, a in halves[1]], dtype=bool)
+    if not is_bad.any() or is_bad.all():
+        return OFFSETS[len(OFFSETS) // 2]
+
+    def gain(f: float) -> float:
+        flagged = top > (f - OFFSETS[0]) * machine.span
+        return flagged[is_bad].mean() - ALARM_COST * flagged[~is_bad].mean()
+
+    best = max(gain(f) for f in OFFSETS)
+    near = [f for f in OFFSETS if gain(f) >= best - 1e-9]
+    return near[len(near) // 2]
+
+
+def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray, offset: float | None = None) -> Machine | None:
+    """The machine for reviewed texts (text, abusive); `counts` are those of `fill_runs` over all documents.
+
+    Without an `offset` it is chosen by validation inside the reviewed documents.
+    """
     bad = [s for t, a in reviewed if a and (s := sentences(t))]
-    good = sorted({s for t, a in reviewed if not a for s in sentences(t)})
+    harmless = [s for t, a in reviewed if not a and (s := sentences(t))]
+    good = sorted({s for doc in harmless for s in doc})
     if not bad or not good:
         return None
-    hot = np.zeros(len(counts) - 1, dtype=bool)
-    hot[hot_runs(bad, counts)] = True
-    flat = [s for doc in bad for s in doc]
-
-    def heat(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        owner, slot = _slots(texts) if texts else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
-        at = owner[hot[slot]]
-        return np.bincount(at, minlength=len(texts)), at
-
-    warm = dict(zip(flat, heat(flat)[0].tolist())) | dict(zip(good, heat(good)[0].tolist()))
+    if offset is None:
+        offset = offset_by_validation(reviewed, counts)
+    evidence = Evidence(bad, harmless, counts)
+    usual_ = [evidence.sums(doc, own_good=1) for doc in harmless]
+    least = max(float(np.quantile(np.concatenate(usual_), QUIET)), 1e-9)
     witness = []
     for doc in bad:
-        top = max(warm[s] for s in doc)
-        witness += [s for s in doc if warm[s] >= max(2, 0.4 * top)]
+        sums = evidence.sums(doc, own_bad=1)
+        witness += [s for s, v in zip(doc, sums) if v > max(least, 0.6 * sums.max())]
     if not witness:
         return None
+    hot = evidence.odds(np.arange(len(counts) - 1)) >= EVIDENT
+    heat = dict(zip((s for doc in harmless for s in doc), np.concatenate(usual_).tolist()))
 
     def core(s: str) -> str:
         """The passage itself, without what stands around it in a run-on sentence."""
@@ -291,7 +342,7 @@ def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machin
             best = part if len(part) > len(best) else best
         return s[max(0, best[0] - 1) : best[-1] + width + 1] if best else ""
 
-    near = sorted((s for s in good if warm[s]), key=lambda s: (-warm[s], s)) + [s for s in good if not warm[s]]
+    near = sorted(good, key=lambda s: (-heat[s], s))
     machine = None
     for _ in range(3):
         marks = _diverse([c for s in witness if len(c := core(s)) >= 4], LANDMARKS)
@@ -299,9 +350,8 @@ def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machin
         at, k = kernel.values(marks)
         gram = np.zeros((len(marks), len(marks)))
         gram[at] = k
-        root = np.sqrt(kernel.own)
-        cosine = gram * root[None, :] / root[:, None]
-        values, vectors = np.linalg.eigh((cosine + cosine.T) / 2)
+        gram /= np.sqrt(kernel.own)[:, None]  # the kernel among the landmarks, all of unit length
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         whitening = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
         texts = witness + near[:MAX_HARMLESS]
         y = np.r_[np.ones(len(witness)), -np.ones(len(texts) - len(witness))]
@@ -311,9 +361,13 @@ def train(reviewed: list[tuple[str | None, bool]], counts: np.ndarray) -> Machin
         w, b = _svm(x @ whitening, y)
         machine = Machine(kernel, whitening, w, b)
         worst, usual = float(np.quantile(machine.scores(good), 0.9995)), float(np.median(machine.scores(witness)))
-        if worst < usual:  # between the highest harmless sentences and the usual abusive one, nearer to the former
-            machine.bias -= worst + 0.2 * (usual - worst)
-        again = [t for doc in bad for t, v in zip(doc, machine.scores(doc)) if v > 0]
+        machine.span = usual - worst
+        if worst < usual:  # between the highest harmless sentences and the usual abusive one
+            machine.bias -= worst + offset * (usual - worst)
+        again = []
+        for doc in bad:  # what the machine flags; in documents without such a sentence the best one, if it stands out from harmless ones
+            v = machine.scores(doc)
+            again += [t for t, x in zip(doc, v) if x > min(0.0, max(float(v.max()) - 1e-9, -offset * max(machine.span, 0.0)))]
         if not again or sorted(set(again)) == sorted(set(witness)):
             break
         witness = again

@@ -6,7 +6,7 @@ from quern.llm import p09_abuse as p
 
 def test_disguises():
     assert p.sentences("You m1$erable i d*i.o t!! 3.5 mg") == ["youmiserableidiot"] or p.sentences("You m1$erable i d*i.o t!!")[0].startswith("youmiserable")
-    assert p.sentences("你这个笨​*蛋，走开！") == ["你这个笨蛋走开"] and p.sentences(None) == [] and p.sentences("stuuupid fool x") == ["stupidfoolx"]
+    assert p.sentences("你这个笨​*蛋，走开！") == ["你这个笨蛋走开"] and p.sentences(None) == [] and p.sentences("stuuupid fool x") == ["stupidfoolx"] and p.sentences("дууурак ты, 滚滚滚滚开吧") == ["дуракты滚开吧"]
 
 
 def test_kernel_against_brute_force():
@@ -27,8 +27,8 @@ def test_kernel_against_brute_force():
     kernel = p.Kernel(marks)
     at, k = kernel.values(["无关", text])
     f = [features(m) for m in marks]
-    want = [sum(w * features(text).get(g, 0) for g, w in m.items()) / sum(w * w for w in m.values()) for m in f]
-    assert at.tolist() == [1] and np.allclose(k[0], np.minimum(want, 2.0))
+    want = [sum(w * features(text).get(g, 0) for g, w in m.items()) / sum(w * w for w in m.values()) ** 0.5 for m in f]
+    assert at.tolist() == [1] and np.allclose(k[0], want)
 
 
 BAD = ["你这个笨蛋走开", "写文的蠢材走开", "你这个坏种消失", "写文的笨蛋消失"]
@@ -67,4 +67,4 @@ def test_held_out_reviews(data):
     bad = [flagged[i] for i, a in labels if i in flagged and a]
     good = [flagged[i] for i, a in labels if i in flagged and not a]
     print("held out: recall", np.mean(bad), "false alarms", np.mean(good))
-    assert np.mean(bad) > 0.6 and np.mean(good) < 0.03
+    assert np.mean(bad) > 0.9 and np.mean(good) < 0.01
