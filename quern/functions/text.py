@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,24 +14,33 @@ EDGE_WHITE = r"\A[\s\x{3000}\x{00a0}\x{feff}]+|[\s\x{3000}\x{00a0}\x{feff}]+\z"
 FRONT_MATTER = r"\A---\n(?s:.*?)\n---\n"
 OCR_IMAGE = r"!\[\]\(page=[^)]+\)"
 MD_IMAGE = r"!\[[^\n]*?\]\([^)]+\)"
-RULE_ANYWHERE, RULE_LINE = r"---+\n?", r"(?m)^---+[ \t]*$"
+RULE_ANYWHERE = r"---+\n?"
 TABLE_RULE = r"\|[\s\-:]+\|"
 HTML_TAG = r"<[^>]+>"
-MD_LINK = r"\[([^\]]+)\]\([^)]+\)"
-HEADING, BULLET, QUOTE = r"(?m)^#{1,6}[ \t]+", r"(?m)^[*+-][ \t]+", r"(?m)^>[ \t]?"
+MD_LINK = r"\[([^\]]*)\]\([^)]+\)"
+RULE_LINE = r"(?md)^---+\s*$"
+HEADING, BULLET, QUOTE = r"(?md)^#{1,6}\s+", r"(?md)^[\*\-\+]\s+", r"(?md)^>\s?"
 LATEX_ARGUMENT, LATEX, INLINE_MATH = r"\\[a-zA-Z]+(\{[^}]*\})?", r"\\[a-zA-Z]+", r"\$[^$]*\$"
 PIPES, WHITE = r"[|]{2,}", r"[\s\x{3000}\x{00a0}]+"
-DROP_LINES = (
-    r"^[A-Za-z]:[\\/]",
-    r"^[\x{1F300}-\x{1F9FF}]",
-    r"^(?:={10,}|-{10,})$",
-    r"^[0-9\s.,%]+$",
-    r"^(?:Traceback|File \")",
-    r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}\s*[0-9]{2}:[0-9]{2}",
-    r"^(?:Processing|Process finished)",
+WINDOWS_PATH = r"^[A-Za-z]:[\\/]"
+PICTOGRAPH = r"^[\x{1F300}-\x{1F9FF}]"
+OCR_LOG = r"^(glm ocr|处理用时|正在提取|💾|📁|📄|📂|输出文件|开始处理)"
+DOUBLE_RULE, DASH_RULE = r"^={10,}$", r"^[\-]{10,}$"
+NUMBERS = r"^[\d\s\.\,\%]+$"
+TRACEBACK = r"^(Traceback|File \")"
+TIMESTAMP = r"^\d{4}[-/]\d{2}[-/]\d{2}\s*\d{2}:\d{2}"
+PROCESSING = r"^(Processing|Process finished)"
+NUMBER_RUN = r"^[\d\s.+\-]+$"
+PUBLISHER = (
+    r"(?i)^(出版社|出版发行|发行|主编|编著|编委会|责任编辑|封面设计|印刷|版次|印次|开本|印张|字数|书号|ISBN|国际标准书号|定价|邮编|邮政编码|地址|电话|传真|"
+    r"网址|E-?mail|QQ|购书热线|热线|版社|有限公司印刷|各地新华书店|版权所有|侵权必究|图书在版编目|CIP|社长热线|邮箱|电子邮箱)[:：\s]"
 )
-CONTENTS_LEADER = r"^.{0,60}[.．·]{5,}\s*[0-9]{1,4}\s*$"
-BOOK_NUMBER = r"(?i)^ISBN"
+CONTENTS_LEADER = r"^[^\n]{0,60}[.．·]{5,}\s*\d{1,4}\s*$"
+BOOK_NUMBER = r"(?i)^isbn[\s:]+"
+IMPRINT = r"(出版社|印刷有限公司|版权所有|侵权必究|图书在版编目|定价[:：]|ISBN|购书热线|新华书店)"
+ENGLISH_LINE = r"^[A-Za-z][A-Za-z0-9\s\.,:'()\-/]{15,}$"
+CONTENTS_TITLE = r"^[\x{4e00}-\x{9fff}]{0,2}目\s*录$"
+CONTROL_LINE = r"^(\{|---|throughput|profile)"
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -59,18 +71,46 @@ def share(text: Column, pattern: str) -> Column:
     return count_matches(text, pattern) / F.greatest(F.length(text), F.lit(1))
 
 
-def is_log_or_table(s: Column) -> Column:
-    """The line predicates of the first cleaner."""
-    out = F.lit(False)
-    for pattern in DROP_LINES:
-        out = out | s.rlike(pattern)
+def log_rules(s: Column) -> dict[str, Column]:
+    """The line rules of the first cleaner by name; each is true for a line to drop."""
     slashes = count_matches(s, r"/") + count_matches(s, r"\\")
-    return out | (share(s, "[0-9]") > 0.35) | (count_matches(s, "[|]") >= 3) | (s.rlike(r"^[0-9\s.+\-]+$") & (F.length(s) > 20)) | ((count_matches(s, r"\\") > 0) & (slashes >= 2))
+    return {
+        "windows_path": s.rlike(WINDOWS_PATH),
+        "pictograph": s.rlike(PICTOGRAPH),
+        "ocr_log": s.rlike(OCR_LOG),
+        "rule": s.rlike(DOUBLE_RULE) | s.rlike(DASH_RULE),
+        "numbers": s.rlike(NUMBERS),
+        "traceback": s.rlike(TRACEBACK),
+        "timestamp": s.rlike(TIMESTAMP),
+        "processing": s.rlike(PROCESSING),
+        "digit_share": share(s, "[0-9]") > 0.35,
+        "pipes": count_matches(s, "[|]") >= 3,
+        "number_run": s.rlike(NUMBER_RUN) & (F.length(s) > 20),
+        "slashes": (count_matches(s, r"\\") > 0) & (slashes >= 2),
+    }
+
+
+def guide_rules(s: Column) -> dict[str, Column]:
+    """The line rules of the guideline cleaner by name."""
+    return {
+        "publisher": s.rlike(PUBLISHER),
+        "contents_leader": s.rlike(CONTENTS_LEADER),
+        "book_number": s.rlike(BOOK_NUMBER),
+        "imprint": s.rlike(IMPRINT) & (F.length(s) < 60),
+        "english": s.rlike(ENGLISH_LINE) & (han_count(s) == 0),
+        "bare_numbers": s.rlike(NUMBERS) | s.rlike(DOUBLE_RULE) | s.rlike(DASH_RULE),
+        "contents_title": s.rlike(CONTENTS_TITLE),
+        "digits": share(s, "[0-9]") > 0.35,
+        "table_row": count_matches(s, "[|]") >= 3,
+    }
+
+
+def is_log_or_table(s: Column) -> Column:
+    return reduce(or_, log_rules(s).values())
 
 
 def is_guide_noise(s: Column) -> Column:
-    """The line predicates of the guideline cleaner."""
-    return (share(s, "[0-9]") > 0.35) | (count_matches(s, "[|]") >= 3) | s.rlike(CONTENTS_LEADER) | s.rlike(BOOK_NUMBER) | (s.rlike(r"^[A-Za-z0-9\s,.;:()'\-]{16,}$") & (han_count(s) == 0)) | s.rlike(r"^[0-9\s.\-]+$") | s.rlike("^目录$")
+    return reduce(or_, guide_rules(s).values())
 
 
 def clean_markdown(text: Column) -> Column:
@@ -104,3 +144,8 @@ def without_thoughts(text: Column) -> Column:
 
 def up_to_last(text: Column, marker: str) -> Column:
     return F.regexp_extract(text, r"(?s)^(.*" + marker + ")", 1)
+
+
+def without_control_lines(text: Column) -> Column:
+    """Lines of a device capture that report on the device are dropped."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~s.rlike(CONTROL_LINE)), "\n")

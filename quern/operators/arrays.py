@@ -10,6 +10,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value formed once a row, however often f uses it inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def doubles(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
@@ -21,8 +26,8 @@ def finite(a: Column) -> Column:
 
 def groups(a: Column, size: int) -> Column:
     """The array in slices of `size`."""
-    n = F.ceil(F.size(a) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.slice(a, g * size + 1, size))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda g: F.slice(v, g * size + 1, size))
+    return bound(a, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.array().cast("array<array<double>>")))
 
 
 def scales(a: Column, size: int, bits: int) -> Column:
@@ -33,19 +38,18 @@ def scales(a: Column, size: int, bits: int) -> Column:
 def quantize(a: Column, size: int, bits: int) -> Column:
     """Codes by group, rounded half to even and clamped."""
     top = 2 ** (bits - 1) - 1
-    s = scales(a, size, bits)
-    return F.transform(doubles(a), lambda x, i: F.least(F.greatest(F.rint(x / F.element_at(s, (F.floor(i / size) + 1).cast("int"))), F.lit(float(-top))), F.lit(float(top))).cast("int"))
+    code = lambda x, scale: F.least(F.greatest(F.rint(x / scale), F.lit(float(-top))), F.lit(float(top))).cast("int")
+    return bound(scales(a, size, bits), lambda s: F.transform(doubles(a), lambda x, i: code(x, F.element_at(s, (F.floor(i / size) + 1).cast("int")))))
 
 
 def dequantize(codes: Column, s: Column, size: int) -> Column:
-    return F.transform(codes, lambda q, i: q * F.element_at(s, (F.floor(i / size) + 1).cast("int")))
+    return bound(s, lambda v: F.transform(codes, lambda q, i: q * F.element_at(v, (F.floor(i / size) + 1).cast("int"))))
 
 
 def pack_nibbles(codes: Column) -> Column:
     """Two codes + 8 a byte, the even one low."""
-    n = F.ceil(F.size(codes) / 2).cast("int")
-    at = lambda i: F.coalesce(F.try_element_at(codes, i), F.lit(0)) + 8
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: at(2 * k + 1).bitwiseOR(F.shiftleft(at(2 * k + 2), 4)))
+    at = lambda v, i: F.coalesce(F.try_element_at(v, i), F.lit(0)) + 8
+    return bound(codes, lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 2).cast("int") - 1), lambda k: at(v, 2 * k + 1).bitwiseOR(F.shiftleft(at(v, 2 * k + 2), 4))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,22 +57,59 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def rms_norm(a: Column, eps: float = 1e-6) -> Column:
-    d = doubles(a)
-    r = 1 / F.sqrt(_sum(F.transform(d, lambda x: x * x)) / F.size(a) + eps)
-    return F.transform(d, lambda x: x * r)
+    factor = lambda d: 1 / F.sqrt(_sum(F.transform(d, lambda x: x * x)) / F.size(d) + eps)
+    return bound(doubles(a), lambda d: bound(factor(d), lambda r: F.transform(d, lambda x: x * r)))
+
+
+def _exps(a: Column) -> Column:
+    """exp(x - max) of each element."""
+    return bound(doubles(a), lambda d: bound(F.array_max(d), lambda top: F.transform(d, lambda x: F.exp(x - top))))
 
 
 def softmax(a: Column) -> Column:
-    d = doubles(a)
-    top = F.array_max(d)
-    e = F.transform(d, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / _sum(e))
+    return bound(_exps(a), lambda e: bound(_sum(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def cross_entropy(a: Column, target: Column) -> Column:
-    d = doubles(a)
-    top = F.array_max(d)
-    return F.log(_sum(F.transform(d, lambda x: F.exp(x - top)))) + top - F.element_at(d, target + 1)
+    return F.log(_sum(_exps(a))) + F.array_max(doubles(a)) - F.element_at(doubles(a), target + 1)
+
+
+def matvec_row(codes: Column, s: Column, x: Column, size: int) -> Column:
+    """Product of one quantised row with a vector: the sum over groups of scale times the sum of code times element."""
+    return dot(dequantize(codes, s, size), x)
+
+
+def penalised(logits: Column, seen: Column, penalty: float) -> Column:
+    """Each logit divided by the penalty once for every time its index was seen, whatever its sign."""
+    return F.transform(doubles(logits), lambda x, i: x / F.pow(F.lit(penalty), F.size(F.filter(seen, lambda t: t == i))))
+
+
+def sampled(probabilities: Column, draw: Column) -> Column:
+    """The first index whose running probability exceeds the draw; the last one where rounding leaves none."""
+    step = lambda acc, p: F.struct((acc["total"] + p).alias("total"), F.when(acc["at"] >= 0, acc["at"]).when(acc["total"] + p > draw, acc["n"]).otherwise(-1).alias("at"), (acc["n"] + 1).alias("n"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("at"), F.lit(0).alias("n"))
+    return F.aggregate(probabilities, start, step, lambda acc: F.when(acc["at"] >= 0, acc["at"]).otherwise(acc["n"] - 1))
+
+
+def xorshift(x: Column) -> Column:
+    """One step of the 32-bit generator with shifts 13, 17, 5, over INT."""
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 17))
+    return x.bitwiseXOR(F.shiftleft(x, 5))
+
+
+def learning_rate(step: Column, warm: int, total: int, peak: float) -> Column:
+    """Linear warm-up, then a cosine down to a tenth of the peak."""
+    share_ = (step - warm) / float(max(1, total - warm))
+    return F.when(step < warm, peak * step / float(warm)).otherwise(peak * (0.1 + 0.45 * (1 + F.cos(F.lit(3.141592653589793) * F.least(share_, F.lit(1.0))))))
+
+
+def gelu(x: Column) -> Column:
+    """x times the normal distribution function; erf by the five-term rational approximation (error under 1.5e-7)."""
+    z = F.abs(x) / 1.4142135623730951
+    t = 1 / (1 + 0.3275911 * z)
+    erf = 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-z * z)
+    return 0.5 * x * (1 + F.when(x < 0, -erf).otherwise(erf))
 
 
 def silu(x: Column) -> Column:
@@ -77,9 +118,8 @@ def silu(x: Column) -> Column:
 
 def top_k_kept(a: Column, k: int) -> Column:
     """Values at or above the k-th largest; ties stay."""
-    d = doubles(a)
-    floor = F.element_at(F.sort_array(d, asc=False), F.least(F.lit(k), F.size(a)))
-    return F.filter(d, lambda x: x >= floor)
+    floor = lambda d: F.element_at(F.sort_array(d, asc=False), F.least(F.lit(k), F.size(d)))
+    return bound(doubles(a), lambda d: bound(floor(d), lambda v: F.filter(d, lambda x: x >= v)))
 
 
 def rotate(a: Column, position: Column, theta: float = 10000.0) -> Column:

@@ -44,3 +44,22 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     out = marked.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
     body = F.array_join(F.transform(F.slice(F.col("l"), F.lit(2), F.size("l")), lambda x: x["line"]), "\n")
     return out.select(key, "section", F.regexp_replace(F.col("l")[0]["line"], r"^#{1,6}\s+", "").alias("heading"), body.alias("body"))
+
+
+def up_to_end(ids: Column) -> Column:
+    """Ids before the first end mark, all where there is none."""
+    at = F.array_position(ids, EOS)
+    return F.when(at > 0, F.slice(ids, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(ids)
+
+
+# Words that make a heading a guideline's, and the questions asked about headings.
+GUIDELINE_WORDS = "诊断|治疗|预防|指南|规范|用药|管理|处理"
+GUIDED, PLAIN = ("根据临床指南，%s的内容要点有哪些", "%s，具体应如何实施"), ("%s的临床诊疗要点是什么", "临床实践中，%s应如何处理")
+
+
+def heading_questions(heading: Column) -> Column:
+    """Two questions about a heading without its numbering; none for headings under 2 or over 40 characters."""
+    h = F.trim(F.regexp_replace(heading, r"^[\d\s.．、-]+", ""))
+    ask = lambda forms: F.array(*[F.format_string(f, h) for f in forms])
+    asked = F.when(h.rlike(GUIDELINE_WORDS), ask(GUIDED)).otherwise(ask(PLAIN))
+    return F.when(F.length(h).between(2, 40), asked).otherwise(F.array().cast("array<string>"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import cut_lineage
+from quern.session import cut_lineage, sized_join
 
 
 def running_before(df: DataFrame, order: list[Column], value: Column, name: str = "before") -> DataFrame:
@@ -27,9 +27,13 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     return running_before(df, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
-def budget_cap(df: DataFrame, order: list[Column], text: str, budget: int) -> DataFrame:
-    """Texts in order until their lengths reach `budget`; the last one is cut to what is left. Nulls and empties take nothing and are left out."""
-    out = running_before(df.where(F.length(text) > 0), order, F.length(text)).where(F.col("before") < budget)
+def budget_cap(df: DataFrame, key: str, text: str, budget: int) -> DataFrame:
+    """Texts in order of a unique key until their lengths reach `budget`; the last one is cut to what is left.
+
+    The running sum moves keys and lengths only. Nulls and empties take nothing and are left out.
+    """
+    sizes = running_before(df.where(F.length(text) > 0).select(key, F.length(text).alias("_n")), [F.col(key)], F.col("_n")).where(F.col("before") < budget)
+    out = sized_join(df, sizes.select(key, "before"), [key])
     return out.withColumn(text, F.expr(f"substring({text}, 1, least(length({text}), {budget} - before))"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import arrays, instruct, order, search
+from quern.session import sized_join
 from quern.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,16 +64,36 @@ def _collapse(text: str) -> str:
     return _strip(f"regexp_replace({_chain(text, [(chr(92) + 'n{3,}', chr(10) * 2)])}, '[ \\t]{{2,}}', ' ', 'g')")
 
 
-_SHARE = f"{_n('s', '[0-9]')}::DOUBLE / length(s) > 0.35"
-_LOG = " OR ".join(
-    [f"regexp_matches(s, {_q(p)})" for p in T.DROP_LINES]
-    + [_SHARE, f"{_n('s', '[|]')} >= 3", "(regexp_matches(s, '^[0-9\\s.+\\-]+$') AND length(s) > 20)", f"({_n('s', chr(92) * 2)} > 0 AND {_n('s', '/')} + {_n('s', chr(92) * 2)} >= 2)"]
-)
-_GUIDE = " OR ".join(
-    [_SHARE, f"{_n('s', '[|]')} >= 3", f"regexp_matches(s, {_q(T.CONTENTS_LEADER)})", f"regexp_matches(s, {_q(T.BOOK_NUMBER)})", f"(regexp_matches(s, '^[A-Za-z0-9\\s,.;:()''\\-]{{16,}}$') AND {_n('s', T.HAN)} = 0)", "regexp_matches(s, '^[0-9\\s.\\-]+$')", "regexp_matches(s, '^目录$')"]
-)
-_MARKDOWN = [(T.FRONT_MATTER, ""), (T.OCR_IMAGE, ""), (T.MD_IMAGE, ""), (T.RULE_ANYWHERE, ""), (T.TABLE_RULE, ""), (T.HTML_TAG, ""), (T.MD_LINK, "\\1"), (T.HEADING, ""), (T.BULLET, ""), (T.QUOTE, "")]
-_GUIDE_STEPS = [(T.FRONT_MATTER, ""), (T.OCR_IMAGE, ""), (T.MD_IMAGE, ""), (T.RULE_LINE, ""), (T.TABLE_RULE, ""), (T.HTML_TAG, ""), (T.MD_LINK, "\\1"), (T.HEADING, "## "), (T.BULLET, ""), (T.QUOTE, "")]
+# Written by hand, apart from the patterns of the Spark side, so that one checks the other.
+_LOG_SQL = {
+    "windows_path": r"regexp_matches(s, '^[A-Za-z]:[\\/]')",
+    "pictograph": "unicode(s[1]) BETWEEN 127744 AND 129535",
+    "ocr_log": " OR ".join(f"starts_with(s, '{w}')" for w in "glm ocr,处理用时,正在提取,💾,📁,📄,📂,输出文件,开始处理".split(",")),
+    "rule": "length(s) >= 10 AND (replace(s, '=', '') = '' OR replace(s, '-', '') = '')",
+    "numbers": r"regexp_matches(s, '^[0-9\s.,%]+$')",
+    "traceback": "starts_with(s, 'Traceback') OR starts_with(s, 'File \"')",
+    "timestamp": r"regexp_matches(s, '^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}\s*[0-9]{2}:[0-9]{2}')",
+    "processing": "starts_with(s, 'Processing') OR starts_with(s, 'Process finished')",
+    "digit_share": "len(regexp_extract_all(s, '[0-9]'))::DOUBLE / length(s) > 0.35",
+    "pipes": "length(s) - length(replace(s, '|', '')) >= 3",
+    "number_run": r"regexp_matches(s, '^[0-9\s.+-]+$') AND length(s) > 20",
+    "slashes": "contains(s, chr(92)) AND 2 * length(s) - length(replace(s, '/', '')) - length(replace(s, chr(92), '')) >= 2",
+}
+_GUIDE_SQL = {
+    "publisher": "regexp_matches(s, '(?i)^(出版社|出版发行|发行|主编|编著|编委会|责任编辑|封面设计|印刷|版次|印次|开本|印张|字数|书号|ISBN|国际标准书号|定价|邮编|邮政编码|地址|电话|传真|网址|E-?mail|QQ|购书热线|热线|版社|有限公司印刷|各地新华书店|版权所有|侵权必究|图书在版编目|CIP|社长热线|邮箱|电子邮箱)[:：\\s]')",
+    "contents_leader": r"regexp_matches(s, '^.{0,60}[.．·]{5,}\s*[0-9]{1,4}\s*$')",
+    "book_number": r"regexp_matches(lower(s), '^isbn[\s:]+')",
+    "imprint": "length(s) < 60 AND regexp_matches(s, '出版社|印刷有限公司|版权所有|侵权必究|图书在版编目|定价[:：]|ISBN|购书热线|新华书店')",
+    "english": r"regexp_matches(s, '^[A-Za-z][A-Za-z0-9\s.,:''()/-]{15,}$')",
+    "bare_numbers": r"regexp_matches(s, '^[0-9\s.,%]+$') OR (length(s) >= 10 AND (replace(s, '=', '') = '' OR replace(s, '-', '') = ''))",
+    "contents_title": r"regexp_matches(s, '^[\x{4e00}-\x{9fff}]{0,2}目\s*录$')",
+    "digits": "len(regexp_extract_all(s, '[0-9]'))::DOUBLE / length(s) > 0.35",
+    "table_row": "length(s) - length(replace(s, '|', '')) >= 3",
+}
+_LOG, _GUIDE = (" OR ".join(f"({rule})" for rule in rules.values()) for rules in (_LOG_SQL, _GUIDE_SQL))
+_FRONT = r"\A---\n(?s:.*?)\n---\n"
+_MARKDOWN = [(_FRONT, ""), (r"!\[\]\(page=[^)]+\)", ""), (r"!\[.*?\]\([^)]+\)", ""), (r"---+\n?", ""), (r"\|[\s:-]+\|", ""), ("<[^>]+>", ""), (r"\[([^\]]*)\]\([^)]+\)", "\\1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[*+-]\s+", ""), (r"(?m)^>\s?", "")]
+_GUIDE_STEPS = [(_FRONT, ""), (r"!\[\]\(page=[^)]+\)", ""), (r"!\[.*?\]\([^)]+\)", ""), (r"(?m)^---+\s*$", ""), (r"\|[\s:-]+\|", ""), ("<[^>]+>", ""), (r"\[([^\]]*)\]\([^)]+\)", "\\1"), (r"(?m)^#{1,6}\s+", "## "), (r"(?m)^[*+-]\s+", ""), (r"(?m)^>\s?", "")]
 _TEXT_STEPS = [(p, " ") for p in (T.LATEX_ARGUMENT, T.INLINE_MATH, T.HTML_TAG, T.MD_IMAGE, T.PIPES, T.WHITE)]
 _KB = "(SELECT DISTINCT id, question, answer, label FROM format_data WHERE length(question) >= 3 AND length(answer) >= 20)"
 
@@ -82,9 +103,9 @@ def docs(spark, folder) -> DataFrame:
 
 
 def kb(spark, folder) -> DataFrame:
-    """Usable knowledge-base entries, re-sent copies once."""
+    """Usable knowledge-base entries; a key that comes again holds the same content and counts once."""
     f = table(spark, folder, "format_data", ["id", "question", "answer", "label"])
-    return f.where((F.length("question") >= 3) & (F.length("answer") >= 20)).distinct()
+    return f.where((F.length("question") >= 3) & (F.length("answer") >= 20)).dropDuplicates(["id"])
 
 
 # ---------------------------------------------------------------- scans, cleaning, filters
@@ -121,13 +142,17 @@ def clean_text(spark, folder):
     return docs(spark, folder).where("text is not null").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("line_reasons", f"SELECT count(*)::BIGINT AS lines, count(*) FILTER (WHERE s = '')::BIGINT AS empty, count(*) FILTER (WHERE s <> '' AND ({_LOG}))::BIGINT AS logs, count(*) FILTER (WHERE s <> '' AND ({_GUIDE}))::BIGINT AS guide FROM (SELECT {_strip('l')} AS s FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))")
+_REASONS = ", ".join(f"count(*) FILTER (WHERE s <> '' AND ({rule}))::BIGINT AS {name}" for name, rule in (_LOG_SQL | _GUIDE_SQL).items())
+
+
+@query("line_reasons", f"SELECT count(*)::BIGINT AS lines, count(*) FILTER (WHERE s = '')::BIGINT AS empty, {_REASONS} FROM (SELECT {_strip('l')} AS s FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))")
 def line_reasons(spark, folder):
-    """L1-L21 as counters over all lines."""
+    """One counter for each rule over all lines."""
     raw = docs(spark, folder).where("text is not null").select(F.explode(F.split("text", "\n")).alias("l"))
     lines = raw.select(T.strip(F.col("l")).alias("s"))
     some = F.col("s") != ""
-    return lines.agg(F.count("*").alias("lines"), F.count_if(~some).alias("empty"), F.count_if(some & T.is_log_or_table(F.col("s"))).alias("logs"), F.count_if(some & T.is_guide_noise(F.col("s"))).alias("guide"))
+    rules = T.log_rules(F.col("s")) | T.guide_rules(F.col("s"))
+    return lines.agg(F.count("*").alias("lines"), F.count_if(~some).alias("empty"), *[F.count_if(some & rule).alias(name) for name, rule in rules.items()])
 
 
 @query("pool_filters", "SELECT id, length(question) >= 5 AND length(answer) >= 30 AS sft, length(question) >= 3 AND length(answer) >= 20 AS kb, length(question) >= 3 AND length(answer) >= 30 AS raft, length(answer) BETWEEN 40 AND 1500 AS section FROM (SELECT DISTINCT id, coalesce(question, '') AS question, coalesce(answer, '') AS answer FROM format_data)")
@@ -138,10 +163,14 @@ def pool_filters(spark, folder):
     return f.select("id", ((q >= 5) & (a >= 30)).alias("sft"), ((q >= 3) & (a >= 20)).alias("kb"), ((q >= 3) & (a >= 30)).alias("raft"), a.between(40, 1500).alias("section"))
 
 
-@query("label_filter", "SELECT trim(lower(label)) AS label, count(*) AS n FROM (SELECT DISTINCT id, label FROM format_data) WHERE label IS NOT NULL AND NOT regexp_matches(label, '(?i)software|设备|固件|信息科') GROUP BY 1")
+# Parts of labels outside medicine.
+OTHER_LABELS = ("健康管理", "理赔", "产品条款", "销售", "消保")
+
+
+@query("label_filter", "SELECT trim(lower(label)) AS label, count(*) AS n FROM (SELECT DISTINCT id, label FROM format_data) WHERE label IS NOT NULL AND NOT (contains(label, '健康管理') OR contains(label, '理赔') OR contains(label, '产品条款') OR contains(label, '销售') OR contains(label, '消保')) GROUP BY 1")
 def label_filter(spark, folder):
-    """Labels without blocked parts."""
-    f = table(spark, folder, "format_data", ["id", "label"]).distinct().where("label is not null").where(~F.col("label").rlike("(?i)software|设备|固件|信息科"))
+    """Labels without a part from outside medicine."""
+    f = table(spark, folder, "format_data", ["id", "label"]).distinct().where("label is not null").where(~F.col("label").rlike("|".join(OTHER_LABELS)))
     return f.groupBy(F.trim(F.lower("label")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -151,10 +180,15 @@ def json_requests(spark, folder):
     return table(spark, folder, "events", ["event_id", "props"]).where("props is not null").select("event_id", F.least(F.from_json("props", "k BIGINT")["k"], F.lit(50).cast("long")).alias("k"))
 
 
-@query("term_dictionary", "SELECT DISTINCT term, length(term)::INT AS n FROM term_dict WHERE length(term) >= 2 AND NOT regexp_matches(term, '[0-9]')")
+# Parts by which a dictionary term is no medical one.
+NOISE_PARTS = ("严防", "商业", "疫情监测", "自我监测", "人员", "原则", "病例", "法规", "报告", "管理", "登记", "流程", "审核")
+_NOISE_SQL = "regexp_matches(term, '严防|商业|疫情监测|自我监测|人员|原则|病例|法规|报告|管理|登记|流程|审核')"
+
+
+@query("term_dictionary", f"SELECT DISTINCT trim(term) AS term, length(trim(term))::INT AS n FROM term_dict WHERE length(trim(term)) >= 2 AND NOT {_NOISE_SQL}")
 def term_dictionary(spark, folder):
     """Usable dictionary terms, longest first."""
-    t = table(spark, folder, "term_dict", ["term"]).where((F.length("term") >= 2) & ~F.col("term").rlike("[0-9]")).distinct()
+    t = table(spark, folder, "term_dict", ["term"]).select(F.trim("term").alias("term")).where((F.length("term") >= 2) & ~F.col("term").rlike("|".join(NOISE_PARTS))).distinct()
     return t.select("term", F.length("term").alias("n")).orderBy(F.desc("n"), "term")
 
 
@@ -164,7 +198,7 @@ def term_dictionary(spark, folder):
 @query("budget_cap", "SELECT doc_id, CASE WHEN b + length(text) <= 200000 THEN length(text) ELSE 200000 - b END::BIGINT AS taken, b::BIGINT AS before FROM (SELECT doc_id, text, sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS b FROM documents WHERE length(text) > 0) WHERE b < 200000")
 def budget_cap(spark, folder):
     """Documents until the budget, the last one cut."""
-    out = order.budget_cap(docs(spark, folder).select("doc_id", "text"), [F.col("doc_id")], "text", 200_000)
+    out = order.budget_cap(docs(spark, folder).select("doc_id", "text"), "doc_id", "text", 200_000)
     return out.select("doc_id", F.length("text").cast("long").alias("taken"), "before")
 
 
@@ -244,14 +278,31 @@ def encode_chars(spark, folder):
     return d.join(F.broadcast(v), "token", "left").select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.coalesce("id", F.lit(1)).cast("long").alias("token"))
 
 
-@query("decode_round_trip", "SELECT doc_id FROM documents WHERE length(text) > 0")
-def decode_round_trip(spark, folder):
-    """Ids back to text; documents whose text returns, unknown characters kept by themselves."""
-    d = docs(spark, folder).where(F.length("text") > 0).select("doc_id", "text", F.posexplode(F.split("text", "")).alias("p", "token"))
+def encoded(spark, folder) -> DataFrame:
+    """(doc_id, ids) of all texts, begin and end marked; grouped by the key alone."""
+    d = docs(spark, folder).where(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "")).alias("p", "token"))
     v = vocabulary(spark, folder).select("token", "id")
-    ids = d.join(F.broadcast(v), "token", "left").select("doc_id", "text", "p", "id", F.when(F.col("id").isNull(), F.col("token")).alias("raw"))
-    back = ids.join(F.broadcast(v), "id", "left").groupBy("doc_id", "text").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("token", "raw").alias("c")))).alias("l"))
-    return back.where(F.array_join(F.transform("l", lambda x: x["c"]), "") == F.col("text")).select("doc_id")
+    rows = d.join(F.broadcast(v), "token", "left").select("doc_id", F.struct("p", F.coalesce("id", F.lit(instruct.UNK)).alias("id")).alias("c"))
+    ids = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["id"]).alias("ids"))
+    return ids.select("doc_id", F.concat(F.array(F.lit(instruct.BOS)), "ids", F.array(F.lit(instruct.EOS))).alias("ids"))
+
+
+_IDS = f"(SELECT d.doc_id, d.pos, coalesce(v.id, 1)::BIGINT AS token FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS pos, unnest(c) AS ch FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0)) d LEFT JOIN ({_VOCAB}) v ON v.token = d.ch)"
+
+
+@query("encode_whole", f"SELECT doc_id, '2,' || string_agg(token, ',' ORDER BY pos) || ',3' AS ids FROM {_IDS} GROUP BY doc_id")
+def encode_whole(spark, folder):
+    """Ids of whole texts with their marks."""
+    return encoded(spark, folder).select("doc_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query("decode_whole", f"SELECT doc_id, coalesce(string_agg(v.token, '' ORDER BY i.pos) FILTER (WHERE v.token IS NOT NULL), '') AS text FROM {_IDS} i LEFT JOIN ({_VOCAB}) v ON v.id = i.token GROUP BY doc_id")
+def decode_whole(spark, folder):
+    """Ids back to text, up to the end mark; unknown ids and padding leave nothing."""
+    ids = encoded(spark, folder).select("doc_id", F.posexplode(instruct.up_to_end(F.col("ids"))).alias("p", "id"))
+    v = vocabulary(spark, folder).select("token", "id")
+    back = ids.join(F.broadcast(v), "id", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("p", "token")))).alias("l"))
+    return back.select("doc_id", F.array_join(F.transform("l", lambda x: x["token"]), "").alias("text"))
 
 
 @query("next_tokens", "SELECT doc_id, pos, ch, lead(ch) OVER (PARTITION BY doc_id ORDER BY pos) AS label FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS pos, unnest(c) AS ch FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0))")
@@ -304,12 +355,15 @@ def heading_sections(spark, folder):
 ORACLES["heading_sections"] = "SELECT doc_id, section::BIGINT AS section, heading, nullif(body, '') AS body FROM (" + ORACLES["heading_sections"] + ")"
 
 
-@query("heading_questions", r"SELECT DISTINCT doc_id, t || CASE WHEN regexp_matches(t, '诊断|处理|流程') THEN '怎么做？' ELSE '是什么？' END AS question FROM (SELECT doc_id, regexp_replace(regexp_replace(l, '^#{1,6}\s+', ''), '^[0-9.、\s]+', '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '^#{1,6}\s+\S')) WHERE length(t) BETWEEN 2 AND 40")
+_TITLES = r"SELECT doc_id, trim(regexp_replace(regexp_replace(l, '^#{1,6}\s+', ''), '^[0-9\s.．、-]+', '')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '^#{1,6}\s+\S')"
+_GUIDED = "regexp_matches(t, '诊断|治疗|预防|指南|规范|用药|管理|处理')"
+
+
+@query("heading_questions", f"SELECT DISTINCT doc_id, unnest(CASE WHEN {_GUIDED} THEN ['根据临床指南，' || t || '的内容要点有哪些', t || '，具体应如何实施'] ELSE [t || '的临床诊疗要点是什么', '临床实践中，' || t || '应如何处理'] END) AS question FROM ({_TITLES}) WHERE length(t) BETWEEN 2 AND 40")
 def heading_questions(spark, folder):
-    """A question from each heading."""
+    """Two questions from each heading."""
     l = docs(spark, folder).select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where(F.col("l").rlike(r"^#{1,6}\s+\S"))
-    t = l.select("doc_id", F.regexp_replace(F.regexp_replace("l", r"^#{1,6}\s+", ""), r"^[0-9.、\s]+", "").alias("t")).where(F.length("t").between(2, 40))
-    return t.select("doc_id", F.concat("t", F.when(F.col("t").rlike("诊断|处理|流程"), "怎么做？").otherwise("是什么？")).alias("question")).distinct()
+    return l.select("doc_id", F.explode(instruct.heading_questions(F.regexp_replace("l", r"^#{1,6}\s+", ""))).alias("question")).distinct()
 
 
 @query("sentence_filter", "SELECT doc_id, count(*) AS sentences FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？\\n]+')) AS s FROM documents) WHERE length(s) BETWEEN 20 AND 200 GROUP BY doc_id")
@@ -323,10 +377,10 @@ def sentence_filter(spark, folder):
 
 
 def _index(spark, folder):
+    """Entries, postings of their character index and the number of entries."""
     k = kb(spark, folder)
-    text = F.concat("question", F.substring("answer", 1, 40))
-    post = search.postings(k, "id", search.chars(text))
-    return k, post, search.idf(post, k.agg(F.countDistinct("id").alias("n")))
+    post = search.postings(k, "id", search.chars(F.concat("question", F.substring("answer", 1, 40))))
+    return k, post, k.count()
 
 
 def _q_table(spark, folder):
@@ -346,14 +400,15 @@ def _retrieve_sql(k: int, distinct: bool = True) -> str:
 @query("char_idf", f"SELECT term, df, idf FROM {_IDF}")
 def char_idf(spark, folder):
     """A2-A4, R1, R3, U4, O5."""
-    return _index(spark, folder)[2]
+    _, post, n = _index(spark, folder)
+    return search.idf(post, n)
 
 
 @query("retrieve_top3", _retrieve_sql(3))
 def retrieve_top3(spark, folder):
     """A batch of queries against the character index."""
-    _, post, weights = _index(spark, folder)
-    return search.retrieve(post, weights, _q_table(spark, folder), search.chars(F.col("text")), 3)
+    _, post, n = _index(spark, folder)
+    return search.retrieve(post, n, _q_table(spark, folder), search.chars(F.col("text")), 3)
 
 
 FLAGSHIP = retrieve_top3
@@ -362,8 +417,8 @@ FLAGSHIP = retrieve_top3
 @query("retrieve_multiset", _retrieve_sql(3, distinct=False))
 def retrieve_multiset(spark, folder):
     """Repeated query characters count again."""
-    _, post, weights = _index(spark, folder)
-    return search.retrieve(post, weights, _q_table(spark, folder), search.chars(F.col("text")), 3, distinct=False)
+    _, post, n = _index(spark, folder)
+    return search.retrieve(post, n, _q_table(spark, folder), search.chars(F.col("text")), 3, distinct=False)
 
 
 @query("evidence_fetch", f"SELECT r.query_id, r.rank, r.doc_id, substr(k.answer, 1, 40) AS evidence FROM ({_retrieve_sql(3)}) r JOIN (SELECT id, min(answer) AS answer FROM {_KB} GROUP BY id) k ON k.id = r.doc_id")
@@ -371,70 +426,87 @@ def evidence_fetch(spark, folder):
     """The texts of the top documents."""
     k = kb(spark, folder).groupBy("id").agg(F.min("answer").alias("answer"))
     top = retrieve_top3(spark, folder)
-    return k.join(F.broadcast(top.withColumnRenamed("doc_id", "id")), "id").select("query_id", "rank", F.col("id").alias("doc_id"), F.substring("answer", 1, 40).alias("evidence"))
+    wanted = top.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("query_id", "rank")).alias("at"))
+    found = sized_join(k, wanted, ["id"]).select("id", F.substring("answer", 1, 40).alias("evidence"), F.explode("at").alias("at"))
+    return found.select("at.query_id", "at.rank", F.col("id").alias("doc_id"), "evidence")
 
 
 @query("query_coverage", f"SELECT query_id, count(*) AS terms, count(i.term) AS known FROM (SELECT DISTINCT query_id, unnest({_CHARS.format(t='text')}) AS term FROM retrieval_query) q LEFT JOIN {_IDF} i USING (term) GROUP BY query_id")
 def query_coverage(spark, folder):
     """How much of a query the index knows."""
-    weights = _index(spark, folder)[2].select("term", F.lit(1).alias("hit"))
-    q = _q_table(spark, folder).select("query_id", F.explode(F.array_distinct(search.chars(F.col("text")))).alias("term"))
-    return weights.join(F.broadcast(q), "term", "right").groupBy("query_id").agg(F.count("*").alias("terms"), F.count("hit").alias("known"))
+    wanted = search.by_term(_q_table(spark, folder), search.chars(F.col("text")))
+    known = sized_join(_index(spark, folder)[1].select("term"), wanted.select("term"), ["term"], "left_semi").distinct().withColumn("hit", F.lit(1))
+    each = wanted.join(known, "term", "left").select(F.explode("queries").alias("query_id"), "hit")
+    return each.groupBy("query_id").agg(F.count("*").alias("terms"), F.count("hit").alias("known"))
 
 
-_TERMS = "(SELECT DISTINCT term FROM term_dict WHERE length(term) >= 2 AND NOT regexp_matches(term, '[0-9]'))"
+_TERMS = f"(SELECT DISTINCT trim(term) AS term FROM term_dict WHERE length(trim(term)) >= 2 AND NOT {_NOISE_SQL})"
 _ALT = f"(SELECT '(' || string_agg(regexp_replace(term, '([-.+*?^$|()\\[\\]{{}}\\\\])', '\\\\\\1', 'g'), '|' ORDER BY length(term) DESC, term) || ')' FROM {_TERMS})"
 _OVER = f"(SELECT DISTINCT id AS doc_id, unnest(regexp_extract_all(replace(question || substr(answer, 1, 80), chr(10), ''), {_ALT}, 1)) AS term FROM {_KB})"
 
 
 def _overlay(spark, folder):
-    pattern = search.alternation(term_dictionary(spark, folder).select("term"))
+    """Dictionary, its postings in the entries, and the dictionary terms of the queries."""
+    terms = term_dictionary(spark, folder).select("term")
     k = kb(spark, folder).select("id", F.regexp_replace(F.concat("question", F.substring("answer", 1, 80)), "\n", "").alias("t"))
-    return pattern, search.postings(k, "id", search.longest_matches(F.col("t"), pattern))
+    post = search.postings(search.longest_matches(k, "id", "t", terms), "id", F.col("terms"))
+    return post, search.longest_matches(_q_table(spark, folder), "query_id", "text", terms)
 
 
 @query("overlay_terms", f"SELECT term, count(*) AS docs FROM {_OVER} GROUP BY term")
 def overlay_terms(spark, folder):
     """Documents of each dictionary term by forward longest match."""
-    return _overlay(spark, folder)[1].groupBy("term").agg(F.count("*").alias("docs"))
+    return _overlay(spark, folder)[0].groupBy("term").agg(F.count("*").alias("docs"))
 
 
 @query("overlay_rank", f"SELECT query_id, doc_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS r FROM (SELECT query_id, doc_id, count(*) AS hits FROM (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, {_ALT}, 1)) AS term FROM retrieval_query) q JOIN {_OVER} o USING (term) GROUP BY query_id, doc_id)) WHERE r = 1")
 def overlay_rank(spark, folder):
     """The document with most distinct dictionary terms."""
-    pattern, post = _overlay(spark, folder)
-    q = _q_table(spark, folder).select("query_id", F.explode(F.array_distinct(search.longest_matches(F.col("text"), pattern))).alias("term"))
-    hits = post.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
-    return hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "doc_id", "hits")
+    post, asked = _overlay(spark, folder)
+    scored = search.hits(post, search.by_term(asked, F.col("terms"))).groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    return search.best(scored, 1).select("query_id", "doc_id", F.col("score").alias("hits"))
 
 
 @query("overlay_boost", f"SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, sum(s)::BIGINT AS score FROM (SELECT query_id, doc_id, idf AS s FROM (SELECT DISTINCT query_id, unnest({_CHARS.format(t='text')}) AS term FROM retrieval_query) q JOIN {_IDF} i USING (term) JOIN {_POST} p USING (term) UNION ALL SELECT query_id, doc_id, 600 FROM (SELECT query_id, unnest(regexp_extract_all(text, {_ALT}, 1)) AS term FROM retrieval_query) q JOIN {_OVER} o USING (term)) GROUP BY query_id, doc_id)) WHERE r <= 3")
 def overlay_boost(spark, folder):
     """Characters plus 600 for every dictionary term of the query."""
-    _, post, weights = _index(spark, folder)
-    pattern, over = _overlay(spark, folder)
-    q = _q_table(spark, folder)
-    chars = q.select("query_id", F.explode(F.array_distinct(search.chars(F.col("text")))).alias("term")).join(weights.select("term", "idf"), "term")
-    terms = q.select("query_id", F.explode(search.longest_matches(F.col("text"), pattern)).alias("term"))
-    scored = post.join(F.broadcast(chars), "term").select("query_id", "doc_id", F.col("idf").alias("s")).unionByName(over.join(F.broadcast(terms), "term").select("query_id", "doc_id", F.lit(600).alias("s")))
-    total = scored.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return total.withColumn("r", F.row_number().over(w)).where("r <= 3").select("query_id", "doc_id", "score")
+    _, post, n = _index(spark, folder)
+    over, asked = _overlay(spark, folder)
+    wanted = search.by_term(_q_table(spark, folder), search.chars(F.col("text")))
+    mine = sized_join(post, wanted.select("term"), ["term"], "left_semi")
+    weighted = sized_join(wanted, search.idf(mine, n).select("term", "idf"), ["term"])
+    by_char = sized_join(mine, weighted, ["term"]).select("doc_id", F.explode("queries").alias("query_id"), F.col("idf").alias("s"))
+    by_word = search.hits(over, search.by_term(asked, F.col("terms"), distinct=False)).select("doc_id", "query_id", F.lit(600).alias("s"))
+    total = by_char.unionByName(by_word).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    return search.best(total, 3).select("query_id", "doc_id", "score")
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower({t}), '[^a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and', 'is', 'to'))"
+# Words without weight in the word index.
+STOP_WORDS = tuple("的了是在和有就不都而及与或一个中其，。、；：！？")
 
 
-@query("word_top2", f"SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, sum(idf)::BIGINT AS score FROM (SELECT DISTINCT query_id, unnest({_WORDS.format(t='text')}) AS term FROM retrieval_query) q JOIN (SELECT term, least(floor(64 * ln(1 + (SELECT count(DISTINCT id) FROM {_KB}) / count(DISTINCT doc_id))), 255) AS idf FROM (SELECT DISTINCT id AS doc_id, unnest({_WORDS.format(t='question || substr(answer, 1, 60)')}) AS term FROM {_KB}) GROUP BY term) i USING (term) JOIN (SELECT DISTINCT id AS doc_id, unnest({_WORDS.format(t='question || substr(answer, 1, 60)')}) AS term FROM {_KB}) p USING (term) GROUP BY query_id, doc_id)) WHERE r <= 2")
+def _words_sql(t: str) -> str:
+    return f"list_distinct(list_concat(regexp_extract_all({t}, {_ALT}, 1), regexp_extract_all(lower({t}), '[a-z]{{2,}}')))"
+
+
+_WORD_POST = f"(SELECT DISTINCT id AS doc_id, unnest({_words_sql('question || substr(answer, 1, 60)')}) AS term FROM {_KB})"
+
+
+@query("word_top2", f"SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, sum(idf)::BIGINT AS score FROM (SELECT DISTINCT query_id, unnest({_words_sql('text')}) AS term FROM retrieval_query) q JOIN (SELECT term, least(floor(64 * ln(1 + (SELECT count(DISTINCT id) FROM {_KB}) / count(DISTINCT doc_id))), 255) AS idf FROM {_WORD_POST} GROUP BY term) i USING (term) JOIN {_WORD_POST} p USING (term) GROUP BY query_id, doc_id)) WHERE r <= 2")
 def word_top2(spark, folder):
-    """The word index without stop words."""
-    stop = F.array(*[F.lit(w) for w in ("the", "of", "and", "is", "to")])
-    terms = lambda c: F.array_except(search.words(c), stop)
-    k = kb(spark, folder)
-    post = search.postings(k, "id", terms(F.concat("question", F.substring("answer", 1, 60))))
-    weights = search.idf(post, k.agg(F.countDistinct("id").alias("n")))
-    return search.retrieve(post, weights, _q_table(spark, folder), terms(F.col("text")), 2).select("query_id", "doc_id", "score")
+    """The word index (dictionary words and words of Latin letters) without stop words."""
+    dictionary = term_dictionary(spark, folder).select("term")
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+
+    def words(df, key, text):
+        latin = df.select(key, F.regexp_extract_all(F.lower(text), F.lit("([a-z]{2,})"), F.lit(1)).alias("terms"))
+        each = search.longest_matches(df, key, text, dictionary).unionByName(latin).select(key, F.explode(F.array_except("terms", stop)).alias("term"))
+        return each.distinct()
+
+    k = kb(spark, folder).select("id", F.concat("question", F.substring("answer", 1, 60)).alias("t"))
+    asked = words(_q_table(spark, folder), "query_id", "text").groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    post = words(k, "id", "t").withColumnRenamed("id", "doc_id")
+    return search.retrieve(post, k.count(), asked, F.col("terms"), 2).select("query_id", "doc_id", "score")
 
 
 # ---------------------------------------------------------------- arrays
