@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -101,7 +106,7 @@ def xorshift(x: Column) -> Column:
 def learning_rate(step: Column, warm: int, total: int, peak: float) -> Column:
     """Linear warm-up, then a cosine down to a tenth of the peak."""
     share_ = (step - warm) / float(max(1, total - warm))
-    return F.when(step < warm, peak * step / float(warm)).otherwise(peak * (0.1 + 0.45 * (1 + F.cos(F.lit(3.141592653589793) * F.least(share_, F.lit(1.0))))))
+    return F.when(step < warm, peak * (step + 1) / float(warm)).otherwise(peak * (0.1 + 0.45 * (1 + F.cos(F.lit(3.141592653589793) * F.least(share_, F.lit(1.0))))))
 
 
 def gelu(x: Column) -> Column:
@@ -130,3 +135,18 @@ def rotate(a: Column, position: Column, theta: float = 10000.0) -> Column:
     left = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p, i: p["x"] * F.cos(angle(i)) - p["y"] * F.sin(angle(i)))
     right = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p, i: p["x"] * F.sin(angle(i)) + p["y"] * F.cos(angle(i)))
     return F.concat(left, right)
+
+
+def as_halves(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column) with every value rounded to an IEEE half."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float64)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], [key, column])
+
+    return df.select(key, column).mapInArrow(run, f"{key} {kind}, {column} array<double>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,11 +27,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for name in ("cleaning", "records", "tokens", "checks"):
+        importlib.import_module(f"quern.plans.{name}")
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
 
 
