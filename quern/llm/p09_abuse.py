@@ -40,8 +40,9 @@ OTHER_OFFSETS = [(1, 2, 3, 4), (2, 3, 4, 5), (1, 3, 4, 5), (1, 2, 4, 5), (1, 2,
 TABLE_BITS = 20
 #: Log odds from which a run of letters counts as evidence of abuse, and the share of harmless sentences whose evidence a witness must exceed.
 EVIDENT, QUIET = 1.5, 0.998
-#: Places between the highest harmless and the usual abusive sentence that are compared for the threshold, and what a false alarm costs beside a miss.
-OFFSETS, ALARM_COST = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5), 5.0
+#: Places between the highest harmless and the usual abusive sentence that are compared for the threshold, and what a share of false
+#: alarms costs beside a share of misses: about as many harmless documents as there are to an abusive one.
+OFFSETS, ALARM_COST = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5), 20.0
 #: Reviewed documents used for training (lowest hashes first), landmarks, and sentences kept of harmless ones.
 MAX_REVIEWED, LANDMARKS, MAX_HARMLESS = 4_000, 220, 6_000
 # Signs and digits read as letters, beside Latin letters only.
