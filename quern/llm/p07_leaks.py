@@ -9,8 +9,8 @@ that replaced words only break a match, not the chain. A chain that gives at lea
 `COVERAGE` of an item within the replacement limit is a leak; its span can be removed.
 
 Null and empty documents hold nothing. An item with fewer than `MIN_RUN` tokens, or a
-null one, can't leak. Items with the same text leak together. An item that shares a run
-with another one is matched against an automaton of its own as well, as its passage may
+null one, can't leak. Items with the same text leak together. An item at least half of which
+another one holds is matched against an automaton of its own as well, as its passage may
 lie inside a longer match of the other. The held-out items are read by the driver; sets of
 more than `SHARD_TOKENS` tokens get several automata, each of which sees every document.
 Removal cuts the stored text; what stands outside the leaked spans stays as it is.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from quern.sources.tables import table
 
 MIN_RUN, COVERAGE, REPLACED = 5, 0.5, 0.1
+#: Share of an item's tokens that must be matched before its matches are chained.
+LEAST_SHARE = 0.3
 #: Most tokens in one automaton (each worker builds it from the items' texts, about 200 MB).
 SHARD_TOKENS = 250_000
 #: Diagonals may drift by so many tokens between neighbouring matches of a chain, which lie at most GAP or the replaceable share of the item apart.
@@ -173,15 +175,21 @@ class Items:
                 total.append(total[-1] + len(w))
             self.weight.append(total)
         self.automaton = SuffixAutomaton(self.tokens)
-        self.related: dict[int, set[int]] = defaultdict(set)
-        runs: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        # shared[a]: the items at least COVERAGE of whose tokens stand in runs of item a
+        runs: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, t in enumerate(self.tokens):
             for k in range(len(t) - MIN_RUN + 1):
-                runs[tuple(t[k : k + MIN_RUN])].add(item)
-        for members in runs.values():
-            if len(members) > 1:
-                for item in members:
-                    self.related[item] |= members - {item}
+                runs[tuple(t[k : k + MIN_RUN])].append((item, k))
+        covered: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for places in runs.values():
+            for other in {i for i, _ in places} if len(places) > 1 else ():
+                for item, k in places:
+                    if item != other:
+                        covered[item, other].update(range(k, k + MIN_RUN))
+        self.shared: dict[int, list[int]] = defaultdict(list)
+        for (item, other), places in covered.items():
+            if len(places) >= COVERAGE * len(self.tokens[item]):
+                self.shared[other].append(item)
         self._alone: dict[int, SuffixAutomaton] = {}
 
     def alone(self, item: int) -> SuffixAutomaton:
@@ -197,14 +205,13 @@ def _leaks(words: list[str], items: Items) -> list[tuple[int, int, int, float]]:
     for end, run, state in items.automaton.matches(tokens, MIN_RUN):
         for item, at in items.automaton.where(state):
             runs[item].append((at - run + 1, end - run + 1, run))
-    for item in {r for i in list(runs) for r in (i, *items.related.get(i, ()))} if items.related else ():
-        if items.related.get(item):
-            own = items.alone(item)
-            runs[item] = [(at - run + 1, end - run + 1, run) for end, run, state in own.matches(tokens, MIN_RUN) for _, at in own.where(state)]
+    for item in sorted({i for seen in runs for i in items.shared.get(seen, ())}) if items.shared else ():
+        own = items.alone(item)  # its passage may lie hidden inside a longer match of the other item
+        runs[item] = [(at - run + 1, end - run + 1, run) for end, run, state in own.matches(tokens, MIN_RUN) for _, at in own.where(state)]
     out = []
     for item, found in runs.items():
         n = len(items.tokens[item])
-        if sum(r for *_, r in found) < 0.3 * n:
+        if sum(r for *_, r in found) < LEAST_SHARE * n:
             continue
         best = _best_chain(sorted(found), tokens, items.tokens[item], items.weight[item])
         if best and best[2] >= COVERAGE:
