@@ -134,13 +134,13 @@ def scan_counts(spark, folder):
 
 @query("clean_markdown", f"SELECT doc_id, {_collapse(_kept(_chain('text', _MARKDOWN), _LOG))} AS cleaned FROM documents WHERE text IS NOT NULL")
 def clean_markdown(spark, folder):
-    """C2-C11, C15, L1-L13."""
+    """C2-C11, C15, with the line rules L1-L13."""
     return docs(spark, folder).where("text is not null").select("doc_id", T.clean_markdown(F.col("text")).alias("cleaned"))
 
 
 @query("clean_guide", f"SELECT doc_id, {_collapse(_chain(_kept(_chain('text', _GUIDE_STEPS), _GUIDE), [(T.LATEX, ' '), (T.INLINE_MATH, ' ')]))} AS cleaned FROM documents WHERE text IS NOT NULL")
 def clean_guide(spark, folder):
-    """C16, L15-L21."""
+    """C16, with the line rules L1, L10, L11, L15-L21."""
     return docs(spark, folder).where("text is not null").select("doc_id", T.clean_guide(F.col("text")).alias("cleaned"))
 
 
@@ -330,15 +330,6 @@ def marker_tokens(spark, folder):
 # ---------------------------------------------------------------- instruction records
 
 
-@query("label_lengths", f"SELECT id, (length(question) + length(answer) + 2)::INT AS ids, (length(question) + length(answer) + 2)::INT AS labels, (length(question) + 1)::INT AS ignored, 4::BIGINT * length(answer) + 3 AS learned FROM {_KB}")
-def label_lengths(spark, folder):
-    """Lengths and sums of the label rule, every character encoded as 4."""
-    codes = lambda c: F.transform(F.split(c, ""), lambda _: F.lit(4))
-    ids, labels = instruct.label_rule(codes("question"), codes("answer"))
-    k = kb(spark, folder).select("id", ids.alias("i"), labels.alias("l"))
-    return k.select("id", F.size("i").alias("ids"), F.size("l").alias("labels"), F.size(F.filter("l", lambda x: x == -100)).alias("ignored"), F.aggregate(F.filter("l", lambda x: x > 0), F.lit(0).cast("long"), lambda s, x: s + x).alias("learned"))
-
-
 @query("raft_evidence", f"SELECT id, substr(answer, 1, 60) AS e1, coalesce(nullif(substr(answer, 61, 60), ''), substr(answer, 1, 60)) AS e2 FROM {_KB}")
 def raft_evidence(spark, folder):
     """B4, C18, R10."""
@@ -346,13 +337,6 @@ def raft_evidence(spark, folder):
     return kb(spark, folder).select("id", one.alias("e1"), two.alias("e2"))
 
 
-@query("collate_padding", f"SELECT id, least(length(question), 64)::INT AS kept, greatest(64 - length(question), 0)::INT AS pads FROM {_KB}")
-def collate_padding(spark, folder):
-    """Cut and pad to a fixed length."""
-    p = instruct.padded(F.transform(F.split("question", ""), lambda _: F.lit(5)), 0, 64)
-    return kb(spark, folder).select("id", p.alias("p")).select("id", F.size(F.filter("p", lambda x: x == 5)).alias("kept"), F.size(F.filter("p", lambda x: x == 0)).alias("pads"))
-
-
 @query("heading_sections", r"SELECT doc_id, section, any_value(heading) FILTER (WHERE h) AS heading, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h) AS body FROM (SELECT *, regexp_replace(line, '^#{1,6}\s+', '') AS heading, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM (SELECT *, regexp_matches(line, '^#{1,6}\s+\S') AS h FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))) WHERE section > 0 GROUP BY doc_id, section")
 def heading_sections(spark, folder):
     """Sections opened by headings."""
