@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +56,24 @@ def encode(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+def encoder(content: bytes) -> Callable[[bytes], list[int]]:
+    """The encoding of a run; a compiled one with the same merges where it is installed, for runs that are valid text."""
+    ranks = ranks_of(content)
+    try:
+        import tiktoken
+    except ImportError:
+        return lambda data: encode(data, ranks)
+    fast = tiktoken.Encoding("runs", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+
+    def run(data: bytes) -> list[int]:
+        try:
+            return fast.encode_ordinary(data.decode("utf-8"))
+        except UnicodeDecodeError:
+            return encode(data, ranks)
+
+    return run
+
+
 def runs(text: str, run: int) -> Iterator[bytes]:
     """The bytes of a text in runs of at most `run`, cut between characters."""
     held, size = [], 0
@@ -77,13 +95,13 @@ def encoded_texts(docs: DataFrame, key: str, text: str, end: int | None = None,
     kind = docs.schema[key].dataType.simpleString()
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(sent.value)
+        encode_run = encoder(sent.value)
         for batch in batches:
             keys, out = [], []
             for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
                 if t and t.strip():
                     keys.append(k.as_py())
-                    out.append([i for part in runs(t, run) for i in encode(part, ranks)] + ([end] if end is not None else []))
+                    out.append([i for part in runs(t, run) for i in encode_run(part)] + ([end] if end is not None else []))
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(out, pa.list_(pa.int32()))], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(batches_of, f"{key} {kind}, ids array<int>")

@@ -10,7 +10,7 @@ from quern.plans import catalog as c
 from quern.plans.catalog import _CELLS, _quant_sql, _vectors, query
 from quern.sources.tables import table
 
-_E = F.col("embedding")
+_E = "embedding"
 
 
 @query(

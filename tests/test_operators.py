@@ -72,7 +72,8 @@ def test_kernel_cases(spark):
 def test_byte_pairs_against_brute_force(spark):
     rnd = random.Random(2)
     with open(bpe.VOCABULARY, "rb") as f:
-        ranks = bpe.ranks_of(f.read())
+        content = f.read()
+    ranks = bpe.ranks_of(content)
 
     def plain(data):
         parts = [data[k : k + 1] for k in range(len(data))]
@@ -84,7 +85,8 @@ def test_byte_pairs_against_brute_force(spark):
 
     texts = ["".join(rnd.choice("abc the 在患者，。 \n") for _ in range(n)) for n in (0, 1, 5, 80, 300)] + ["aaaaaaaaaaaa", "é̂😀"]
     for t in texts:
-        assert bpe.encode(t.encode(), ranks) == plain(t.encode())
+        assert bpe.encode(t.encode(), ranks) == plain(t.encode()) == bpe.encoder(content)(t.encode())
+    assert bpe.encoder(content)(b"\xed\xa0\x80 x") == bpe.encode(b"\xed\xa0\x80 x", ranks)
     back = {r: t for t, r in ranks.items()}
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, " ", "长文" * 5000])], "k long, t string")
     got = {r.k: r.ids for r in bpe.encoded_texts(docs, "k", "t", end=-1).collect()}
