@@ -54,7 +54,7 @@ def negative_answer(answer: Column) -> Column:
 def listing_only(answer: Column) -> Column:
     """A list of found documents and hardly any sentence."""
     body = F.when(F.contains(answer, F.lit(":")), F.regexp_replace(answer, r"(?s)\A[^:]*:", "")).otherwise(answer)
-    return F.startswith(answer, F.lit("找到")) & F.contains(answer, F.lit("结果")) & (F.length(body) > 20) & (han_count(body) / F.length(body) < 0.2)
+    return F.startswith(answer, F.lit("找到")) & F.contains(answer, F.lit("结果")) & (F.length(body) > 20) & (han_count(body) / F.greatest(F.length(body), F.lit(1)) < 0.2)
 
 
 def usable_log(instruction: Column, response: Column) -> Column:
@@ -65,7 +65,7 @@ def usable_log(instruction: Column, response: Column) -> Column:
 def search_log(df: DataFrame, content: str) -> DataFrame:
     """Adds instruction and response: the sections under their headings, stripped; empty where a section is missing."""
     body = F.regexp_replace(content, FRONT_MATTER, "")
-    return df.withColumn("instruction", strip(F.regexp_extract(body, r"(?s)# Instruction\n+(.*?)(?=\n# |\z)", 1))).withColumn("response", strip(F.regexp_extract(body, r"(?s)# Response\n+(.*)\z", 1)))
+    return df.withColumn("instruction", strip(F.regexp_extract(body, r"(?s)# Instruction\n(.*?)(?=\n# |\z)", 1))).withColumn("response", strip(F.regexp_extract(body, r"(?s)# Response\n+(.*)\z", 1)))
 
 
 def is_contents(question: Column, answer: Column) -> Column:
