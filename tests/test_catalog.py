@@ -22,13 +22,17 @@ def rows(names, data):
     return sorted((tuple(flat(r[k]) for k in order) for r in data), key=repr)
 
 
+# the smallest tables hold no case; compared with brute force in test_operators.py
+MAY_BE_EMPTY = {"template_questions"}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_against_sql(spark, data, con, name):
     df = catalog.queries()[name](spark, data)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert got
+        assert got or name in MAY_BE_EMPTY
         return
     r = con.execute(sql)
     want = rows([d[0] for d in r.description], r.fetchall())

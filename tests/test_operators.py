@@ -129,3 +129,33 @@ def test_label_rule(spark):
     assert row.i == [2, 11, 12, 21, 3] and row.l == [-100, -100, 21, 3, -100]
     e1, e2 = (one(spark, c, "长" * 40) for c in instruct.evidence(F.col("v")))
     assert e1 == e2 == "长" * 40
+
+
+def template_brute(texts):
+    out = set()
+    for text in texts:
+        for s in re.split(r"[。！？\n]+", text or ""):
+            s = s.strip(" \t\r\n　\xa0﻿")
+            if not 20 <= len(s) <= 200:
+                continue
+            for aspect, words in records.ASPECTS.items():
+                for w in words:
+                    at = s.find(w)
+                    ends = [s[:at][-n:].strip() for n in range(8, 1, -1)] if at > 0 else []
+                    fit = [e for e in ends if len(e) >= 2 and not re.match(r"[\d\s.()（）【】\[\]一二三四五六七八九十]", e) and not re.search(r"[，。；：？！、（）()《》\"'【】]", e) and re.search(records.ENTITY_ENDS, e) and not re.search(records.NO_ENTITY, e) and not re.fullmatch(r"[\d\sA-Za-z]+", e)]
+                    if fit:
+                        out.add(f"{fit[0]}的{aspect}是什么？")
+                        break
+    return out
+
+
+def test_template_questions_against_brute_force(spark, data, tmp_path):
+    rnd = random.Random(6)
+    parts = ["急性胰腺炎", "患者", "诊断标准", "治疗原则", "鉴别诊断", "骨折", "，", "糖尿病 ", "3", "症状", "随访", "。", "\n", "的", "处理后观察若干天再做安排"]
+    texts = ["".join(rnd.choice(parts) for _ in range(60)) for _ in range(80)] + [None, "", "短"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [r.question for r in records.template_questions(spark, str(tmp_path)).collect()]
+    assert set(asked) == template_brute(texts) and len(asked) == len(set(asked)) > 10
+    whole = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    assert {r.question for r in records.template_questions(spark, data).collect()} == template_brute(whole)
